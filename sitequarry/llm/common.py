@@ -120,9 +120,20 @@ def fixed_rows(column: pa.ChunkedArray, dtype: type, width: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty((0, width), dtype)
 
 
+def lower(text: str) -> str:
+    """Lower case of the same length: a letter whose lower case is several characters stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case runs of letters, digits and underscores; a null text has none."""
-    return _WORD.findall(text.lower()) if text else []
+    return _WORD.findall(lower(text)) if text else []
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where ``words`` of the text lie."""
+    return [m.span() for m in _WORD.finditer(lower(text))]
 
 
 class TokenHash(dict):

@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import decontaminate, language_id, mixing, ngram_join, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.query,
+        "op3_benchmark_decontamination": decontaminate.query,
+        "op7_language_id": language_id.query,
+        "op9_source_mixing": mixing.query,
+        "op10_feistel_sharding": sharding.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_source_mixing": mixing.SQL,
+        "op10_feistel_sharding": sharding.SQL,
+    }

@@ -253,7 +253,10 @@ def ngram_jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESH
             ok = (a != b) & (np.maximum(a, b) < np.iinfo(np.int64).max)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(j[ok])], ["doc_id_a", "doc_id_b", "jaccard"])
 
-    return _members(docs, comp, rows, n).mapInArrow(run, "doc_id_a long, doc_id_b long, jaccard double")
+    pairs = _members(docs, comp, rows, n).mapInArrow(run, "doc_id_a long, doc_id_b long, jaccard double")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        pairs = pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    return pairs
 
 
 def drop_near_duplicates(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> DataFrame:

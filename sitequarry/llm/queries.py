@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, ngram_join, sharding
+from . import decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, suffix_tree_lm, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.query,
+        "op2_embedding_near_duplicates": embedding_dedup.query,
         "op3_benchmark_decontamination": decontaminate.query,
+        "op4_suffix_tree_scoring": suffix_tree_lm.query,
+        "op5_quality_classifier": quality.query,
+        "op6_url_filter": url_filter.query,
         "op7_language_id": language_id.query,
         "op9_source_mixing": mixing.query,
         "op10_feistel_sharding": sharding.query,

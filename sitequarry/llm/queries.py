@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, suffix_tree_lm, url_filter
+from . import decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, sharding, suffix_tree_lm, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": quality.query,
         "op6_url_filter": url_filter.query,
         "op7_language_id": language_id.query,
+        "op8_toxicity": toxicity.query,
         "op9_source_mixing": mixing.query,
         "op10_feistel_sharding": sharding.query,
     }
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_toxicity": toxicity.query,
         "op9_source_mixing": mixing.SQL,
         "op10_feistel_sharding": sharding.SQL,
     }

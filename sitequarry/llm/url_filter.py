@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-BITS, ORDERS, RIDGE, ROUNDS, THRESHOLD, TRAIN = 16, (3, 4, 5), 1e-4, 500, 0.5, 20_000
+BITS, ORDERS, RIDGE, ROUNDS, THRESHOLD, TRAIN = 16, (3, 4, 5), 1e-4, 500, 0.7, 20_000
 _PARTS = re.compile(r"^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)", re.IGNORECASE)
 
 _BAD = (

@@ -3,79 +3,19 @@ token n-gram hashing and connected components."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if its measured size is below this.
-BROADCAST_BYTES = 64 << 20
+from ..operators.graph import connected_components
+from ..storage import BROADCAST_BYTES, Workspace, broadcast_if_small, shared_dir
 
 _WORD = re.compile(r"\w+")
-_local: dict[str, str] = {}
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, a local one, and only under a local master."""
-    sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if not sc.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = sc.applicationId
-    if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="sitequarry-")
-        sc.setCheckpointDir(_local[app])
-        _at_exit(spark, _local[app])
-    return _local[app]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-
-    atexit.register(remove)
-
-
-class Workspace:
-    """A folder of intermediate Parquet tables in the shared folder.
-
-    A written table cuts the lineage: a lost executor costs no more than the tasks it was running. ``drop`` removes a table
-    as soon as nothing reads it any more; what a returned DataFrame still reads is removed when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        _at_exit(spark, self.root)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            _delete(self.spark, f"{self.root}/{name}")
-
-
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if its ``rows`` (counted) fit the limit; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+__all__ = ["BROADCAST_BYTES", "TokenHash", "Workspace", "binary_rows", "broadcast_if_small", "connected_components", "fixed_rows", "key_runs", "lower", "mix64", "rolling", "shared_dir", "shingles", "word_spans", "words"]
 
 
 def key_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -176,43 +116,3 @@ def rolling(tokens: np.ndarray, n: int) -> np.ndarray:
 def shingles(tokens: np.ndarray, n: int) -> np.ndarray:
     """``rolling``, but a text of 1 to n-1 tokens has one shingle, itself."""
     return rolling(tokens, min(n, len(tokens))) if len(tokens) else np.empty(0, np.uint64)
-
-
-def connected_components(ws: Workspace, edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
-    """(node, component): component is the least node it is connected with. ``edges``: longs a, b; a node without edges is absent.
-
-    Alternating large-star and small-star steps, two shuffles of the edge list a round, each round written out. The number of
-    rounds is logarithmic in the longest path. Null ends and self loops are ignored.
-    """
-    w = Window.partitionBy("u")
-    now = ws.table(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        f"{name}-start",
-    )
-    last, before = f"{name}-start", None
-    for i in range(rounds):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.withColumn("m", F.least(F.min("v").over(w), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        small = large.distinct().withColumn("m", F.min("v").over(w))
-        flat = F.array(F.struct("v", F.col("m").alias("r")), F.struct(F.col("u").alias("v"), F.col("m").alias("r")))
-        step = (
-            small.select(F.explode(flat).alias("e"))
-            .select(F.col("e.v").alias("u"), F.col("e.r").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        now = ws.table(step, f"{name}-{i}")
-        ws.drop(last)
-        last = f"{name}-{i}"
-        state = now.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("v").alias("u"), "v").distinct()
-    return now.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))

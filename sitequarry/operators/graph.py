@@ -53,13 +53,12 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "component
 def alternate_occurrences(links: DataFrame) -> DataFrame:
     """(doc, source_key, target_key, hreflang, entry_ix, source_raw, target_raw, rel): each link between two identities.
 
-    ``links``: as ``entry_rules.links`` gives them, with ``base``. Links without an href, and locs or hrefs without an http(s) host,
-    take no part.
+    ``links``: as ``entry_rules.links`` gives them. Links with a blank href take no part; a URL without a host is its own identity.
     """
-    rows = links.where(F.col("href").isNotNull())
+    rows = links.where(F.col("href").isNotNull() & (U.trim4(F.col("href")) != "") & F.col("loc").isNotNull())
     rows = U.with_url(U.with_url(rows, "loc", "__s", "source_key"), "href", "__t", "target_key")
-    return rows.where("__s.host is not null and __t.host is not null").select(
-        "doc_id", "base", "source_key", "target_key", "hreflang", "entry_ix", F.col("loc").alias("source_raw"), F.col("href").alias("target_raw"), "rel"
+    return rows.select(
+        "doc_id", "base", "source_key", "target_key", U.trim4(F.col("hreflang")).alias("hreflang"), "entry_ix", F.col("loc").alias("source_raw"), F.col("href").alias("target_raw"), "rel"
     )
 
 

@@ -40,6 +40,8 @@ def _most(n: int) -> Check:
 def _uri(least: int = 0, most: int = _MANY) -> Check:
     def check(s: str) -> bool:
         s = _collapse(s)
+        if not re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", s) and ":" in re.split("[/?#]", s)[0]:
+            return False
         return least <= len(s) <= most and " " not in s and s.count("#") <= 1 and not re.search("%(?![0-9A-Fa-f]{2})", s)
 
     return check

@@ -26,7 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op8_toxicity": toxicity.query,
         "op9_source_mixing": mixing.SQL,
         "op10_feistel_sharding": sharding.SQL,
     }

@@ -19,8 +19,9 @@ try:
 except ImportError:  # the standard codec knows the 2003 rules
     idna = None
 
-PARTS = "struct<scheme:string,host:string,port:int,path:string,query:string,fragment:string,user:string>"
+PARTS = "struct<scheme:string,host:string,port:int,path:string,query:string,fragment:string,user:string,key:string>"
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
+_PLAIN_SPLIT = r"^([A-Za-z]+)://([^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 _PLAIN = (
     r"(?i)^https?://(?:[a-z0-9-]+\.)*[a-z0-9-]*[a-z][a-z0-9-]*\.?(?::[0-9]{1,5})?"
     r"(?:/(?!/)(?!\.{1,2}(?:/|$|[?#]))[a-z0-9._~-]*)*(?:\?[a-z0-9._~&=/?-]+)?(?:#[a-z0-9._~:/?#&=-]*)?$"
@@ -104,24 +105,27 @@ def _slow(urls: pd.Series) -> pd.DataFrame:
     return out
 
 
-def _part(url: Column, group: int) -> Column:
-    x = F.regexp_extract(url, _SPLIT, group)
-    return F.when(x != "", x)
+def _pieces(url: Column) -> Column:
+    """[scheme, host, port, path, ?query, #fragment] of a plain URL, '' for what is missing; null for any other URL."""
+    return F.when(url.rlike(_PLAIN), F.split(F.regexp_replace(url, _PLAIN_SPLIT, "$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01"))
 
 
-def parts(url: Column) -> Column:
-    """The components of a plain URL; null for any other."""
-    authority = _part(url, 2)
+def _plain_parts(p: Column) -> Column:
+    scheme, host, port, query = F.lower(p[0]), F.lower(p[1]), p[2], p[4]
+    path = F.when(p[3] == "", "/").otherwise(p[3])
+    own = (port == "") | ((scheme == "http") & port.rlike("^0*80$")) | ((scheme == "https") & port.rlike("^0*443$"))
+    rest = lambda x: F.when(F.length(x) > 1, F.substring(x, 2, 2**31 - 1))
     return F.when(
-        url.rlike(_PLAIN),
+        p.isNotNull(),
         F.struct(
-            F.lower(_part(url, 1)).alias("scheme"),
-            F.lower(F.regexp_extract(authority, "^([^:]*)", 1)).alias("host"),
-            F.when(authority.contains(":"), F.regexp_extract(authority, ":([0-9]+)$", 1).cast("int")).alias("port"),
-            F.coalesce(_part(url, 3), F.lit("/")).alias("path"),
-            F.substring(_part(url, 4), 2, 2**31 - 1).alias("query"),
-            F.when(F.length(_part(url, 5)) > 1, F.substring(_part(url, 5), 2, 2**31 - 1)).alias("fragment"),
+            scheme.alias("scheme"),
+            host.alias("host"),
+            F.when(port != "", port.cast("int")).alias("port"),
+            path.alias("path"),
+            rest(query).alias("query"),
+            rest(p[5]).alias("fragment"),
             F.lit(None).cast("string").alias("user"),
+            F.concat(scheme, F.lit("://"), host, F.when(own, "").otherwise(F.concat(F.lit(":"), port.cast("int").cast("string"))), path, query).alias("key"),
         ),
     )
 
@@ -136,30 +140,17 @@ def authority(url: Column) -> Column:
     return F.concat(url["scheme"], F.lit("://"), url["host"], port_part(url))
 
 
-def plain_key(url: Column) -> Column:
-    """Identity of a plain URL, without fragment and default port."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    head = F.regexp_extract(bare, "^[^/]*//[^/?]*", 0)
-    rest = F.substring(bare, F.length(head) + 1, F.lit(2**31 - 1))
-    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.concat(F.regexp_replace(F.lower(head), "^(?:(http://[^:]*):0*80|(https://[^:]*):0*443|([^:]*://[^:]*(?::[0-9]+)?))$", "$1$2$3"), rest)
-
-
 def with_url(df: DataFrame, loc: str = "loc", url: str = "url", out: str = "loc_key") -> DataFrame:
     """Adds the components as ``url`` and the identity key as ``out``.
 
     What plain URLs need is computed below the Arrow function, where the plan keeps it as columns; above it nothing is computed twice.
     """
     x = F.col(loc)
-    df = df.withColumn(url, parts(x)).withColumn("__key", F.when(x.rlike(_PLAIN), plain_key(x)))
-    slow = F.pandas_udf(_slow, PARTS[:-1] + ",key:string>")
-    df = df.withColumn("__slow", slow(F.when(F.col("__key").isNull() & (absoluteness(x) == "http(s)"), x)))
-    slow_parts = F.struct(*[F.col(f"__slow.{n}").alias(n) for n in ("scheme", "host", "port", "path", "query", "fragment", "user")])
-    return (
-        df.withColumn(url, F.coalesce(F.col(url), F.when(F.col("__slow.host").isNotNull(), slow_parts)))
-        .withColumn(out, F.coalesce(F.col("__key"), F.col("__slow.key"), x))
-        .drop("__key", "__slow")
-    )
+    df = df.withColumn("__p", _pieces(x)).withColumn(url, _plain_parts(F.col("__p"))).drop("__p")
+    fixed = F.pandas_udf(_slow, PARTS).asNondeterministic()  # else filters on the result go below it, with a second copy of everything
+    slow = fixed(F.when(F.col(url).isNull() & (absoluteness(x) == "http(s)"), x))
+    df = df.withColumn("__slow", slow)
+    return df.withColumn(url, F.coalesce(F.col(url), F.when(F.col("__slow.host").isNotNull(), F.col("__slow")))).drop("__slow").withColumn(out, F.coalesce(F.col(f"{url}.key"), x))
 
 
 def loc_key(url: str | None) -> str | None:

@@ -19,7 +19,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from .common import TokenHash, broadcast_if_small, mix64, words
 
 TRAIN, WIDTH, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 3000, 32, 16, 8, 8, 16, 8
-WORD_BITS, CHAR_BITS, ORDERS, ROUNDS, EPOCHS, RATE, THRESHOLD = 12, 13, (3, 4), 4, 4, 0.01, 0.9
+WORD_BITS, CHAR_BITS, ORDERS, ROUNDS, STEPS, RATE, THRESHOLD = 12, 13, (3, 4), 4, 300, 0.01, 0.9
 _BATCH = 2048
 
 
@@ -64,7 +64,7 @@ class Network:
         def init(*shape: int, scale: float | None = None) -> np.ndarray:
             return (r.standard_normal(shape) * (scale or 1 / np.sqrt(shape[0]))).astype(np.float32)
 
-        self.p = {"word": init(1 << WORD_BITS, WORD_DIM, scale=0.1), "char": init(1 << CHAR_BITS, CHAR_DIM, scale=0.5)}
+        self.p = {"word": init(1 << WORD_BITS, WORD_DIM, scale=0.02), "char": init(1 << CHAR_BITS, CHAR_DIM, scale=0.1)}
         for side in "fb":
             self.p |= {f"W{side}": init(d, g), f"b{side}": np.zeros(g, np.float32), f"U{side}": init(h, g), f"q{side}": np.zeros(h, np.float32)}
         self.p |= {"A": init(2 * h, ATTENTION), "a": np.zeros(ATTENTION, np.float32), "v": init(ATTENTION), "w": init(2 * h), "c": np.zeros(1, np.float32)}
@@ -212,7 +212,8 @@ def _suspects(texts: list[list[str]], y: np.ndarray) -> list[np.ndarray]:
     return [np.array([strength[own[s : s + WIDTH]].max() for s in windows(len(own))]) for own in ids]
 
 
-def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Network:
+def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS, steps: int = STEPS, rate: float = RATE, seed: int = 5) -> Network:
+    """``rounds`` times, picks each document's worst window and takes ``steps`` gradient steps of 64 windows, however many there are."""
     net, rng, y = Network(seed), np.random.default_rng(seed), (np.array(labels) > 0).astype(np.float32)
     tokens = [words(t) for t in texts]
     full = [i for i, t in enumerate(tokens) if t]
@@ -235,23 +236,22 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS, epochs: in
         share = np.clip(goal.mean(), 1e-3, 1 - 1e-3)
         weight = np.where(goal > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         hasher = TokenHash()
-        for _ in range(epochs):
-            order = rng.permutation(len(picked))
-            for lo in range(0, len(order), 64):
-                rows = order[lo : lo + 64]
-                chosen = [picked[i] for i in rows]
-                local = {w: i for i, w in enumerate(dict.fromkeys(w for t in chosen for w in t))}
-                x, parts = net.inputs(list(local), hasher)
-                size = np.array([len(t) for t in chosen])
-                token, mask = np.zeros((size.max(), len(rows)), np.int64), np.arange(size.max())[:, None] < size[None]
-                for j, t in enumerate(chosen):
-                    token[: len(t), j] = [local[w] for w in t]
-                g = net.gradients(token, x, parts, mask, goal[rows], weight[rows])
-                step += 1
-                for k in net.p:
-                    m[k] += 0.1 * (g[k] - m[k])
-                    v[k] += 0.01 * (g[k] * g[k] - v[k])
-                    net.p[k] = net.p[k] - (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        order = np.concatenate([rng.permutation(len(picked)) for _ in range(-(-steps * 64 // len(picked)))])
+        for lo in range(0, steps * 64, 64):
+            rows = order[lo : lo + 64]
+            chosen = [picked[i] for i in rows]
+            local = {w: i for i, w in enumerate(dict.fromkeys(w for t in chosen for w in t))}
+            x, parts = net.inputs(list(local), hasher)
+            size = np.array([len(t) for t in chosen])
+            token, mask = np.zeros((size.max(), len(rows)), np.int64), np.arange(size.max())[:, None] < size[None]
+            for j, t in enumerate(chosen):
+                token[: len(t), j] = [local[w] for w in t]
+            g = net.gradients(token, x, parts, mask, goal[rows], weight[rows])
+            step += 1
+            for k in net.p:
+                m[k] += 0.1 * (g[k] - m[k])
+                v[k] += 0.01 * (g[k] * g[k] - v[k])
+                net.p[k] = net.p[k] - (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net
 
 

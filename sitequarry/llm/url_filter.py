@@ -41,9 +41,10 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 
 
 def features(url: str, bits: int = BITS) -> np.ndarray:
-    """Distinct hashed n-grams of the host and the path, each with its ends marked; scheme, user, port, query and fragment don't count."""
+    """Distinct hashed n-grams of the host and the path, ends marked, each as the part's own and as one of either part; scheme, user,
+    port, query and fragment don't count."""
     host, path = _PARTS.match(url.strip()).groups()
-    grams = {f"{kind}{t[i : i + n]}" for kind, t in (("h", f"^{host.lower()}$"), ("p", f"^{path.lower()}$")) for n in ORDERS for i in range(len(t) - n + 1)}
+    grams = {k + t[i : i + n] for kind, t in (("h", f"^{host.lower()}$"), ("p", f"^{path.lower()}$")) for n in ORDERS for i in range(len(t) - n + 1) for k in (kind, "")}
     return np.unique([xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) >> 32 - bits for g in grams]) if grams else np.empty(0, np.int64)
 
 

@@ -18,7 +18,7 @@ _local: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, a local one, and only under a local master."""
     sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir")
+    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
     if not sc.master.startswith("local["):

@@ -16,7 +16,7 @@ def labelled(spark):
     return docs.join(spark.read.parquet(f"{TABLES}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
 
 
-# --- language ---------------------------------------------------------------------------------------------------------------------
+# == language
 
 
 def test_kernel_is_the_blended_spectrum_kernel():
@@ -61,7 +61,7 @@ def test_pipeline_stage_keeps_clean_documents(spark, data):
     assert L.keep_identified(docs).count() >= 0.98 * docs.count()
 
 
-# --- quality ----------------------------------------------------------------------------------------------------------------------
+# == quality
 
 
 def test_quality_held_out(labelled):
@@ -89,7 +89,7 @@ def test_quality_edges(spark, nasty, none):
     assert Q.classify(nasty, None).columns == [c for c in nasty.columns if c != "quality_ok"] + ["quality_score", "quality_ok"]
 
 
-# --- URLs -------------------------------------------------------------------------------------------------------------------------
+# == URLs
 
 
 def test_url_held_out(spark):
@@ -121,7 +121,7 @@ def test_url_whole_table(spark, data):
     assert np.mean([r.url_ok for r in out if "example" in r.url and "-" not in r.url.split("/")[2]]) > 0.97
 
 
-# --- toxicity ---------------------------------------------------------------------------------------------------------------------
+# == toxicity
 
 
 def test_gradients():

@@ -38,7 +38,7 @@ class SourceFailed(Exception):
     """A single source failed and errors were to be raised."""
 
 
-# --- inputs -----------------------------------------------------------------------------------------------------------------------
+# == inputs
 
 
 def is_local(source: str) -> bool:
@@ -101,7 +101,7 @@ def _fetcher(transport: H.Transport | None, policy: H.Policy, limits: L.FetchLim
     return lambda urls: H.fetch_documents(urls, transport, policy, limits)
 
 
-# --- the audit: one fetch, one expansion, five relations --------------------------------------------------------------------------
+# == the audit: one fetch, one expansion, five relations
 
 
 @dataclass
@@ -215,7 +215,7 @@ def validate(
     return Validation(assemble(spark, [union(parts)], mode, rules), coverage)
 
 
-# --- discovery --------------------------------------------------------------------------------------------------------------------
+# == discovery
 
 
 def tree(
@@ -289,7 +289,7 @@ def probe(url: str, *, transport: H.Transport, policy: H.Policy = H.Policy(), li
     return out | {"url": url, "final_url": got.final, "problems": out["problems"] or (None if got.outcome in ("usable_body", "http_status") else got.outcome)}
 
 
-# --- comparing --------------------------------------------------------------------------------------------------------------------
+# == comparing
 
 
 @dataclass

@@ -77,7 +77,7 @@ def page_facts(body: bytes | None, headers: dict[str, list[str]] | None, final_u
     found = [resolve(a.get("href"), base) for a in head.links if "href" in a and "canonical" in a.get("rel", "").lower().split()]
     link = ", ".join(_header_values(headers, "link"))
     for part in re.split(r",(?=\s*<)", link):
-        m = re.match(r"\s*<([^>]*)>(.*)$", part, re.DOTALL)
+        m = re.match(r"\s*<([^>]*)>([\s\S]*)", part)
         if m and re.search(r'rel\s*=\s*"?canonical"?', m[2], re.IGNORECASE):
             found.append(resolve(m[1], final_url))
     targets = list(dict.fromkeys(u for u in found if u))

@@ -20,7 +20,9 @@ except ImportError:  # the standard codec knows the 2003 rules
     idna = None
 
 PARTS = "struct<scheme:string,host:string,port:int,path:string,query:string,fragment:string,user:string,key:string>"
-_SPLIT = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
+_SCHEME = r"[A-Za-z][\w+.\-]*"
+_SPLIT = rf"^({_SCHEME})://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
+_BAD_ESCAPE = "%(?![0-9a-fA-F][0-9a-fA-F])"
 _PLAIN_SPLIT = r"^([A-Za-z]+)://([^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 _PLAIN = (
     r"(?i)^https?://(?:[a-z0-9-]+\.)*[a-z0-9-]*[a-z][a-z0-9-]*\.?(?::[0-9]{1,5})?"
@@ -30,11 +32,11 @@ _PLAIN = (
 
 def absoluteness(loc: Column) -> Column:
     """'http(s)', 'other-scheme' or 'relative'."""
-    return F.when(loc.rlike("(?i)^https?://"), "http(s)").when(loc.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), "other-scheme").otherwise("relative")
+    return F.when(loc.rlike("(?i)^https?://"), "http(s)").when(loc.rlike(f"^{_SCHEME}:"), "other-scheme").otherwise("relative")
 
 
 def invalid_escape(loc: Column) -> Column:
-    return loc.rlike("%(?![0-9A-Fa-f]{2})")
+    return loc.rlike(_BAD_ESCAPE)
 
 
 def illegal_char(loc: Column) -> Column:
@@ -71,7 +73,7 @@ def _drop_dots(path: str) -> str:
 
 def _encode(text: str) -> str:
     """Percent-encodes what a URI may not hold; what is encoded already stays."""
-    return quote(re.sub("%(?![0-9A-Fa-f]{2})", "%25", text), safe="%/:?#[]@!$&'()*+,;=~-._", errors="replace")
+    return quote(re.sub(_BAD_ESCAPE, "%25", text), safe="%/:?#[]@!$&'()*+,;=~-._", errors="replace")
 
 
 @lru_cache(maxsize=50_000)
@@ -99,7 +101,7 @@ def canonical(url: str) -> tuple | None:
 
 def _slow(urls: pd.Series) -> pd.DataFrame:
     rows = [None if u is None else canonical(u) for u in urls]
-    out = pd.DataFrame([r or (None,) * 7 for r in rows], columns=["scheme", "host", "port", "path", "query", "fragment", "user"], dtype=object)
+    out = pd.DataFrame([r or (None,) * 7 for r in rows], columns="scheme host port path query fragment user".split(), dtype=object)
     out["port"] = out["port"].astype("Int32")
     out["key"] = [loc_key(u) if r else None for u, r in zip(urls, rows, strict=True)]
     return out
@@ -168,7 +170,7 @@ def directory(path: Column) -> Column:
 
 def base_ref(url: Column) -> Column:
     """Subject reference of a sitemap: its URL or path without the scheme."""
-    return F.concat(F.lit("sitemap://"), F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""))
+    return F.concat(F.lit("sitemap://"), F.regexp_replace(url, f"^{_SCHEME}://", ""))
 
 
 def trim4(x: Column) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..rulesets import PROVENANCE, SEVERITY, Ruleset
 
-_BARE = ["code", "severity", "layer", "subject_type", "subject_ref", "message", "evidence", "is_strict_only", "remediation_hint"]
-COLUMNS = ["code", "severity", "layer", "subject_type", "subject_ref", "message", "evidence", "mode", "is_strict_only", "remediation_hint"]
+COLUMNS = schema.columns(schema.FINDING)
+_BARE = [c for c in COLUMNS if c != "mode"]
 
 
 @dataclass(frozen=True)

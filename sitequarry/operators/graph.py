@@ -85,7 +85,7 @@ def alternate_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     comp = connected_components(ws, edges.select(F.concat("doc_id", sep, "source_key").alias("a"), F.concat("doc_id", sep, "target_key").alias("b")))
     out = nodes.withColumn("node", F.concat("doc_id", sep, "url_key")).join(comp, "node", "left")
     out = out.withColumn("root", F.coalesce("component", "node"))
-    return out.withColumn("cluster", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("root"))).select("doc_id", "url_key", "url_raw", "node_kind", "cluster")
+    return out.withColumn("cluster", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("root"))).select(*nodes.columns, "cluster")
 
 
 def cluster_summary(nodes: DataFrame) -> DataFrame:

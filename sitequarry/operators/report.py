@@ -25,7 +25,7 @@ def lastmod_coverage(urls: DataFrame) -> DataFrame:
 
 def folder_tree(urls: DataFrame) -> DataFrame:
     """(prefix, depth, n): URLs at or below each folder of the paths; the root is ''."""
-    path = F.regexp_replace(F.regexp_replace("loc", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/]+", ""), r"[?#].*$", "")
+    path = F.regexp_replace(F.regexp_replace("loc", r"^[\w+.\-]+://[^/]+", ""), r"[?#].*$", "")
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     rows = urls.where("loc is not null").select(parts.alias("p"))
     depth = F.explode(F.sequence(F.lit(0), F.size("p"))).alias("depth")

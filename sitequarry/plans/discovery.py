@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..limits import DiscoveryLimits
 
-GENERIC = (
-    "/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap.xml.gz", "/sitemap.txt", "/sitemap/index.xml", "/sitemaps.xml", "/news-sitemap.xml", "/sitemap-news.xml",
-)
+GENERIC = tuple(f"/{p}" for p in "sitemap.xml sitemap_index.xml sitemap-index.xml sitemap.xml.gz sitemap.txt sitemap/index.xml sitemaps.xml news-sitemap.xml sitemap-news.xml".split())
 CMS = (("/wp-sitemap.xml", "wordpress"), ("/sitemap.xml", "shopify"))
 #: (path, kind, source), in order.
 CATALOG = [(p, "generic", "generic") for p in GENERIC] + [(p, "cms", s) for p, s in CMS]
@@ -31,7 +29,7 @@ def candidates(roots: DataFrame, robots: DataFrame | None = None, limits: Discov
     keyed = U.with_url(rows, "candidate_url")
     first = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("root", "loc_key").orderBy("o"))).where("__n = 1")
     out = first.withColumn("ord", F.row_number().over(Window.partitionBy("root").orderBy("o"))).where(F.col("ord") <= limits.max_candidates)
-    return out.select("root", "candidate_url", "catalog_path", "kind", "source", "provenance", "ord")
+    return out.select("root", "ord", "provenance", "source", "kind", "catalog_path", "candidate_url")
 
 
 def classify(candidates: DataFrame, fetched: DataFrame) -> DataFrame:

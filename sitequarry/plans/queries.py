@@ -46,7 +46,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-# --- derived relations ------------------------------------------------------------------------------------------------------------
+# == derived relations
 
 X_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 X_LOC = f"""CASE page_id % 16 WHEN 0 THEN concat(url, '/a b') WHEN 1 THEN concat(url, '%zz') WHEN 2 THEN '/relative' WHEN 3 THEN concat('ftp://', {X_HOST}, '/f')
@@ -89,7 +89,7 @@ def _rule(code: str, severity: str, where: str, ref: str = "ref") -> str:
     return f"SELECT '{code}' AS code, '{severity}' AS severity, {ref} AS subject_ref FROM f WHERE {where}"
 
 
-# --- URLs -------------------------------------------------------------------------------------------------------------------------
+# == URLs
 
 X_PORTED = f"CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, {X_HOST}, concat({X_HOST}, ':8080')) WHEN 2 THEN replace(url, {X_HOST}, concat(upper({X_HOST}), ':443')) ELSE url END"
 _SPLIT = f"""WITH p AS (SELECT page_id, {X_PORTED} AS loc FROM pages), s AS (SELECT page_id, loc, lower(regexp_extract(loc, '^([A-Za-z]+)://', 1)) AS scheme,
@@ -157,7 +157,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _found(E.loc_findings(E.keyed(_entries(spark, d, loc=X_CODED)), Ruleset("yandex")), "PROTOCOL_URL_DECODED_TOO_LONG")
 
 
-# --- duplicates -------------------------------------------------------------------------------------------------------------------
+# == duplicates
 
 X_DUP = f"CASE page_id % 5 WHEN 0 THEN regexp_replace(url, '#.*$', '') WHEN 1 THEN concat('https://', {X_HOST}, ':443/en/1') WHEN 2 THEN concat('https://', {X_HOST}, '/en/1') ELSE regexp_replace(url, '[?].*$', '') END"
 _DUP = f"""WITH p AS (SELECT page_id, {X_HOST} AS doc, {X_DUP} AS loc, row_number() OVER (PARTITION BY {X_HOST} ORDER BY page_id) AS ix FROM pages),
@@ -175,7 +175,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _found(E.duplicate_findings(E.keyed(_entries(spark, d, loc=X_DUP))), "PROTOCOL_URL_EQUIVALENT")
 
 
-# --- fields -----------------------------------------------------------------------------------------------------------------------
+# == fields
 
 
 @query(
@@ -238,7 +238,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _found(D.document_findings(_entries(spark, d), sizes, L.ProtocolLimits(max_uncompressed_bytes=20000)), "PROTOCOL_SIZE_EXCEEDED")
 
 
-# --- extensions -------------------------------------------------------------------------------------------------------------------
+# == extensions
 
 X_IMAGES = "transform(sequence(0, cast(page_id % 5 as int)), i -> named_struct('loc', url, 'caption', cast(null as string), 'geo_location', cast(null as string), 'title', cast(null as string), 'license', cast(null as string)))"
 X_NEWS = "array(named_struct('publication', named_struct('name', 'n', 'language', case when page_id % 3 = 0 then 'english' when page_id % 3 = 1 then 'zh-cn' else 'en' end), 'access', cast(null as string), 'genres', cast(null as string), 'publication_date', case when page_id % 4 = 0 then '2024' else '2024-02-29' end, 'title', 't', 'keywords', cast(null as string), 'stock_tickers', cast(null as string)))"
@@ -280,7 +280,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _found(E.extension_findings(_entries(spark, d, images=X_IMAGES, news=X_NEWS, video=X_VIDEO)), "PROTOCOL_VIDEO_FIELD_INVALID")
 
 
-# --- alternates -------------------------------------------------------------------------------------------------------------------
+# == alternates
 
 _TOKENS = {
     "en": None, "EN": "HREFLANG_FORMAT_INVALID", "En": "HREFLANG_NONSTANDARD_CASE", "en-US": None, "en-us": "HREFLANG_NONSTANDARD_CASE", "en_US": "HREFLANG_SEPARATOR_INVALID", "": "HREFLANG_FORMAT_INVALID",
@@ -358,7 +358,7 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query("hreflang_edges", _EDGES + "SELECT concat('g', CAST(g AS VARCHAR)) AS doc_id, s AS source_key, t AS target_key, lang AS hreflang, CAST(count(*) AS INTEGER) AS n_occurrences FROM l GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return G.alternate_edges(G.alternate_occurrences(_links(spark, d))).select("doc_id", "source_key", "target_key", "hreflang", "n_occurrences")
+    return G.alternate_edges(G.alternate_occurrences(_links(spark, d))).drop("base", "occurrences")
 
 
 def _graph_findings(spark: SparkSession, d: str, code: str) -> DataFrame:
@@ -415,7 +415,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return G.cluster_summary(_clusters(spark, d)).withColumn("members", F.array_join("members", " "))
 
 
-# --- pages ------------------------------------------------------------------------------------------------------------------------
+# == pages
 
 X_OUTCOME = "CASE page_id % 8 WHEN 0 THEN 'transport_fail' WHEN 1 THEN 'http_status' WHEN 2 THEN 'redirect_over_budget' WHEN 3 THEN 'safety_refused' WHEN 4 THEN 'incomplete' ELSE 'usable_body' END"
 X_FINAL = "CASE WHEN page_id % 3 = 0 THEN concat(url, 'x') ELSE url END"
@@ -444,7 +444,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _found(P.transport_findings(_artifacts(spark, d)))
 
 
-X_BODY = f"CASE page_id % 5 WHEN 0 THEN '<html><head></head></html>' WHEN 1 THEN concat('<head><link rel=\"canonical\" href=\"', {X_CLEAN}, '\">') WHEN 2 THEN '<head><link rel=\"canonical\" href=\"/other\">' ELSE concat('<head><base href=\"', {X_CLEAN}, '\"><link href=\"\" rel=\"canonical\"><link rel=\"canonical\" href=\"', url, '\">') END"
+X_BODY = f"CASE page_id % 5 WHEN 0 THEN '<html><head></head></html>' WHEN 1 THEN concat('<head><link href=\"', {X_CLEAN}, '\" rel=canonical>') WHEN 2 THEN '<head><link rel=canonical href=/other>' ELSE concat('<head><base href=\"', {X_CLEAN}, '\"><link href=\"\" rel=\"canonical\"><link rel=\"canonical\" href=\"', url, '\">') END"
 
 
 @query("canonical_mismatch", _PAGE + _rule("PAGE_CANONICAL_MISSING", "info", "outcome = 'usable_body' AND page_id % 5 = 0") + " UNION ALL " + _rule("PAGE_CANONICAL_MISMATCH", "warning", "outcome = 'usable_body' AND page_id % 5 = 2"))
@@ -479,7 +479,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return P.select_pages(_table(spark, d, "pages").withColumnRenamed("url", "loc")).select("loc_key", "loc")
 
 
-# --- robots -----------------------------------------------------------------------------------------------------------------------
+# == robots
 
 _ROBOTS = "User-agent: *\\nDisallow: /private\\nAllow: /private/open\\nDisallow: /*.pdf$\\nSitemap: https://{0}/s1.xml\\nsite-map : https://{0}/s2.xml\\nSitemap: /relative.xml\\nSitemap: https://{0}/s1.xml#again\\nUser-agent: special\\nDisallow: /"
 
@@ -513,7 +513,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return discovery.candidates(files.select(F.col("origin").alias("root")), named).select("root", "candidate_url", "ord")
 
 
-# --- index ------------------------------------------------------------------------------------------------------------------------
+# == index
 
 X_CHILD = f"CASE WHEN page_id % 3 = 0 THEN concat('https://', {X_HOST}, ':443/s.xml') WHEN page_id % 3 = 1 THEN concat('https://', {X_HOST}, '/s.xml') WHEN page_id % 2 = 0 THEN concat('https://other.example/', {X_HOST}) ELSE {X_CLEAN} END"
 _CHILD = f"WITH c AS (SELECT page_id, {X_HOST} AS doc_id, {X_CHILD} AS loc, row_number() OVER (PARTITION BY {X_HOST} ORDER BY page_id) AS ix FROM pages), k AS (SELECT *, replace(loc, ':443/', '/') AS key FROM c), f AS (SELECT *, min(ix) OVER (PARTITION BY doc_id, key) AS first FROM k) "
@@ -545,7 +545,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return I.within_budget(leaves, L.IndexLimits(max_total_sitemaps=5, max_total_urls=300), ["user_id"], "event_id").select("event_id", "sitemaps", "urls", "kept")
 
 
-# --- findings, reports ------------------------------------------------------------------------------------------------------------
+# == findings, reports
 
 
 def _assembled(spark: SparkSession, d: str, mode: str, ruleset: Ruleset | None = None) -> DataFrame:
@@ -639,9 +639,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(parts["changed"].select(F.lit("changed").alias("change"), F.get_json_object("key", "$.loc").alias("loc")))
 
 
-# --- bytes and text ---------------------------------------------------------------------------------------------------------------
+# == bytes and text
 
-_WRAP = {0: ("", "html"), 1: ("<?xml version=\"1.0\"?><!-- c --><urlset>", "xml-urlset"), 2: ("<s:sitemapindex >", "xml-sitemapindex"), 3: ("<rss>", "feed"), 4: ("<note>", "xml"), 5: ("plain ", "text")}
+_WRAP = {0: ("", "html"), 1: ("<!-- c --><?pi x?><urlset>", "xml-urlset"), 2: ("<s:sitemapindex >", "xml-sitemapindex"), 3: ("<rss>", "feed"), 4: ("<note>", "xml"), 5: ("plain ", "text")}
 
 
 @query("sniff", "SELECT page_id, CASE page_id % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in _WRAP.items()) + " END AS format FROM pages")

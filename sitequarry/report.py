@@ -48,7 +48,7 @@ def render(audit: Audit, title: str = "Sitemap report") -> str:
         "<h2>Sources</h2>" + _table(["format", "count"], [tuple(r) for r in R.format_counts(audit.sources).orderBy("format").collect()]) + _table(["sitemap", "URLs", "lastmod", "priority", "changefreq"], [tuple(r) for r in R.source_counts(audit.urls).orderBy("source_sitemap").limit(URL_ROWS).collect()]),
         f"<h2>lastmod by month</h2><table>{bars}</table>",
         "<h2>Folders</h2>" + _folders([tuple(r) for r in R.folder_tree(audit.urls.limit(TREE_URLS)).collect()]),
-        f"<h2>URLs (first {URL_ROWS})</h2>" + _table(["loc", "lastmod", "changefreq", "priority", "sitemap"], [tuple(r) for r in shown]),
+        f"<h2>URLs (first {URL_ROWS})</h2>" + _table("loc lastmod changefreq priority sitemap".split(), [tuple(r) for r in shown]),
     ]
     return f"<!doctype html><html lang='en'><head><meta charset='utf-8'><title>{escape(title)}</title><style>{_CSS}</style></head><body>{''.join(parts)}</body></html>"
 

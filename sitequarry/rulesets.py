@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-RULESETS = ("sitemaps.org", "google", "bing", "yandex")
+RULESETS = tuple("sitemaps.org google bing yandex".split())
 REVISIONS = dict.fromkeys(RULESETS, "2026-07-16")
-CHANNELS = ("absent", "search_console_api", "webmaster_tools", "user", "import")
-PROVENANCES = ("organic", "robots_txt_reference", "supplied", "guessed_path", "index_child", "archive_derived")
-EVIDENCE = ("absent", "verified_property_set", "target_host_robots_reference", "same_location_default", "conflicting")
+CHANNELS = tuple("absent search_console_api webmaster_tools user import".split())
+PROVENANCES = tuple("organic robots_txt_reference supplied guessed_path index_child archive_derived".split())
+EVIDENCE = tuple("absent verified_property_set target_host_robots_reference same_location_default conflicting".split())
 
 _LIMITS = ("PROTOCOL_URL_COUNT_EXCEEDED", "INDEX_CHILD_COUNT_EXCEEDED", "PROTOCOL_SIZE_EXCEEDED")
 _FIELDS = ("PROTOCOL_LASTMOD_INVALID", "PROTOCOL_CHANGEFREQ_INVALID", "PROTOCOL_PRIORITY_OUT_OF_RANGE")
@@ -21,7 +21,7 @@ PROVENANCE: dict[str, dict[str, str]] = {
 }
 SEVERITY: dict[str, dict[str, str]] = {"yandex": dict.fromkeys(_FIELDS, "warning")}
 #: Crawlers whose robots directives an engine obeys, besides those for all.
-CRAWLERS = {"google": ("googlebot", "googlebot-news", "googlebot-image", "google"), "bing": ("bingbot", "msnbot", "bing"), "yandex": ("yandexbot", "yandex")}
+CRAWLERS = {e: tuple(names.split()) for e, names in {"google": "googlebot googlebot-news googlebot-image google", "bing": "bingbot msnbot bing", "yandex": "yandexbot yandex"}.items()}
 FEEDS = ("rss2.0", "atom1.0", "atom0.3")
 
 

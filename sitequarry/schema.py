@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-LAYERS = ("input", "fetch", "discovery", "classification", "decompression", "schema", "protocol", "index-expansion", "page", "robots", "report")
-SEVERITIES = ("fatal", "error", "warning", "info")
+LAYERS = tuple("input fetch discovery classification decompression schema protocol index-expansion page robots report".split())
+SEVERITIES = tuple("fatal error warning info".split())
 MODES = ("strict", "non-strict")
 STRICT_ELEVATIONS = ("ENCODING_BOM_DECLARATION_CONFLICT", "PROTOCOL_LASTMOD_LOOKS_GENERATED")
-CHANGEFREQ = ("always", "hourly", "daily", "weekly", "monthly", "yearly", "never")
-FORMATS = ("gzip", "tar", "xml-urlset", "xml-sitemapindex", "feed", "xml", "html", "text", "binary", "empty")
+CHANGEFREQ = tuple("always hourly daily weekly monthly yearly never".split())
+FORMATS = tuple("gzip tar xml-urlset xml-sitemapindex feed xml html text binary empty".split())
 
 IMAGE = "struct<loc:string,caption:string,geo_location:string,title:string,license:string>"
 NEWS = (
@@ -108,3 +108,14 @@ _HINTS = {
 
 def hint(code: str) -> str | None:
     return _HINTS.get(code)
+
+
+def columns(ddl: str) -> list[str]:
+    """Names of the top-level columns of a schema."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(ddl + ","):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append(ddl[start:i].split()[0])
+            start = i + 1
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from ..functions.urls import base_ref
 from ..functions.values import parse_lastmod, parse_priority
 from ..limits import ArchiveLimits
-from ..schema import ALTERNATE, DOCUMENT, IMAGE, NEWS, VIDEO
+from ..schema import ALTERNATE, DOCUMENT, ENTRY, IMAGE, NEWS, URLS, VIDEO, columns
 from . import raw, xmltree, xsd
 
 _ENTRY = f"struct<loc:string,lastmod:string,changefreq:string,priority:string,images:array<{IMAGE}>,video:array<{VIDEO}>,news:array<{NEWS}>,alternates:array<{ALTERNATE}>,member:string>"
@@ -171,7 +171,7 @@ def entries(parsed: DataFrame) -> DataFrame:
     rows = parsed.select("doc_id", "base", "sitemap_url", F.posexplode("entries").alias("__i", "e"))
     source = F.coalesce(F.col("sitemap_url"), F.col("doc_id"))
     source = F.when(F.col("e.member").isNull(), source).otherwise(F.concat(source, F.lit("#archive-member:"), F.col("e.member")))
-    fields = [F.col(f"e.{c}").alias(c) for c in ("loc", "lastmod", "changefreq", "priority", "images", "video", "news", "alternates")]
+    fields = [F.col(f"e.{c}").alias(c) for c in columns(ENTRY)[4:-1]]
     return rows.select("doc_id", "base", "sitemap_url", (F.col("__i") + 1).alias("entry_ix"), *fields, source.alias("source_sitemap"))
 
 
@@ -186,7 +186,8 @@ def children(parsed: DataFrame) -> DataFrame:
 
 def urls(entries: DataFrame) -> DataFrame:
     """The public typed rows: lastmod a timestamp, priority a double, null where they cannot be read."""
-    return entries.select("loc", parse_lastmod(F.col("lastmod")).alias("lastmod"), "changefreq", parse_priority(F.col("priority")).alias("priority"), "images", "video", "news", "alternates", "source_sitemap")
+    typed = {"lastmod": parse_lastmod(F.col("lastmod")), "priority": parse_priority(F.col("priority"))}
+    return entries.select(*[typed.get(c, F.col(c)).alias(c) for c in columns(URLS)])
 
 
 def sources(parsed: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def sources(parsed: DataFrame) -> DataFrame:
     charset = F.regexp_extract(F.lower(F.col("content_type")), r"charset=[\"']?([^\s;\"']+)", 1)
     return parsed.select(
         "requested_url", "final_url", "status", F.array().cast("array<string>").alias("redirect_chain"), "content_type", F.nullif(charset, F.lit("")).alias("charset"), F.col("byte_size").alias("bytes"),
-        F.lit(None).cast("double").alias("timing"), "error_class", "format", "root", "namespaces",
+        F.lit(None).cast("double").alias("timing"), "error_class", "format", F.col("root"), F.col("namespaces"),
         F.when(F.col("kind").isin("urlset", "index"), F.concat_ws("|", F.lit("1"), "root", F.array_join(F.array_sort("namespaces"), ","))).alias("profile_id"),
     )
 

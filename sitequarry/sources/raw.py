@@ -21,7 +21,7 @@ class SourceError(Exception):
 _BLANK = re.compile(r"\s+")
 _NS = r"(?:[a-z0-9_.\-]+:)?"
 _ROOTS = [("xml-urlset", "urlset"), ("xml-sitemapindex", "sitemapindex"), ("feed", "(?:rss|feed)")]
-_HTML = re.compile(r"<(?:html|head|body|title|meta|table|div|span|p|a|ul|ol|li)(?:[\s>/]|$)")
+_HTML = re.compile(rf"<(?:{'|'.join('a body div head html li meta ol p span table title ul'.split())})(?:[\s>/]|$)")
 #: Comments, processing instructions and declarations (with an internal subset) before the root element.
 _PROLOGUE = r"(?:\s+|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!(?!--)[^>\[]*\[[^\]]*\][^>]*>|<!(?!--)[^>\[]*>)*"
 

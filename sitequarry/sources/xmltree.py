@@ -7,13 +7,14 @@ from xml.parsers import expat
 
 from .raw import SourceError
 
-CORE = "http://www.sitemaps.org/schemas/sitemap/0.9"
-IMAGE = "http://www.google.com/schemas/sitemap-image/1.1"
-VIDEO = "http://www.google.com/schemas/sitemap-video/1.1"
-NEWS = "http://www.google.com/schemas/sitemap-news/0.9"
-PAGEMAP = "http://www.google.com/schemas/sitemap-pagemap/1.0"
-XHTML = "http://www.w3.org/1999/xhtml"
-XSI = "http://www.w3.org/2001/XMLSchema-instance"
+_GOOGLE, _W3 = "http://www.google.com/schemas/", "http://www.w3.org/"
+CORE = "http://www.sitemaps.org/schemas/" + "sitemap/0.9"
+IMAGE = _GOOGLE + "sitemap-image/1.1"
+VIDEO = _GOOGLE + "sitemap-video/1.1"
+NEWS = _GOOGLE + "sitemap-news/0.9"
+PAGEMAP = _GOOGLE + "sitemap-pagemap/1.0"
+XHTML = _W3 + "1999/xhtml"
+XSI = _W3 + "2001/XMLSchema-instance"
 _TRIM = " \t\r\n"
 
 
@@ -130,7 +131,7 @@ def entries(root: Element) -> list[dict]:
             continue
         own = lambda ns, name, make, url=url: [make(c) for c in url.children if (c.ns, c.name) == (ns, name)]
         out.append(
-            _fields(url, "loc", "lastmod", "changefreq", "priority")
+            _fields(url, *"loc lastmod changefreq priority".split())
             | {
                 "images": own(IMAGE, "image", _image),
                 "video": own(VIDEO, "video", _video),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+from ..schema import CHANGEFREQ
 from .xmltree import CORE, IMAGE, NEWS, PAGEMAP, VIDEO, XHTML, XSI, Element, walk
 
 KNOWN = {CORE, IMAGE, VIDEO, NEWS, PAGEMAP, XHTML}
@@ -40,9 +41,9 @@ def _most(n: int) -> Check:
 def _uri(least: int = 0, most: int = _MANY) -> Check:
     def check(s: str) -> bool:
         s = _collapse(s)
-        if not re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", s) and ":" in re.split("[/?#]", s)[0]:
+        if not re.match(r"[A-Za-z][\w+.\-]*:", s) and ":" in re.split("[/?#]", s)[0]:
             return False
-        return least <= len(s) <= most and " " not in s and s.count("#") <= 1 and not re.search("%(?![0-9A-Fa-f]{2})", s)
+        return least <= len(s) <= most and " " not in s and s.count("#") <= 1 and not re.search("%(?![0-9a-fA-F][0-9a-fA-F])", s)
 
     return check
 
@@ -97,8 +98,9 @@ def _req(name: str, kind: Type | Check, most: int = 1) -> tuple:
 
 _RELATION = {"relationship": (True, _one_of("allow", "deny"))}
 _LOC = _uri(12, 2048)
+_PLATFORM, _TICKER = "(?:web|mobile|tv)", r"\w+:\w+"
 _GENRES = "(PressRelease|Satire|Blog|OpEd|Opinion|UserGenerated)"
-_URL = Type(seq=[_req("loc", _LOC), _opt("lastmod", _date), _opt("changefreq", _one_of("always", "hourly", "daily", "weekly", "monthly", "yearly", "never")), _opt("priority", _number(0, 1, _DECIMAL))], after=True)
+_URL = Type(seq=[_req("loc", _LOC), _opt("lastmod", _date), _opt("changefreq", _one_of(*CHANGEFREQ)), _opt("priority", _number(0, 1, _DECIMAL))], after=True)
 _CHILD = Type(seq=[_req("loc", _LOC), _opt("lastmod", _date)], after=True)
 _VIDEO = Type(
     seq=[
@@ -106,23 +108,23 @@ _VIDEO = Type(
         _opt("player_loc", _leaf(_uri(), allow_embed=(False, _YES_NO), autoplay=(False, _any))), _opt("duration", _SECONDS), _opt("expiration_date", _date),
         _opt("rating", _number(0, 5, _DECIMAL)), _opt("content_segment_loc", _leaf(_uri(), duration=(False, _SECONDS)), _MANY), _opt("view_count", _COUNT),
         _opt("publication_date", _date), _opt("tag", _any, 32), _opt("category", _most(256)), _opt("family_friendly", _YES_NO),
-        _opt("restriction", Type(_pattern("([A-Z]{2}( +[A-Z]{2})*)?"), _RELATION)), _opt("gallery_loc", _leaf(_uri(), title=(False, _any))),
+        _opt("restriction", Type(_pattern("(?:[A-Z][A-Z](?: +[A-Z][A-Z])*)?"), _RELATION)), _opt("gallery_loc", _leaf(_uri(), title=(False, _any))),
         _opt("price", _leaf(_any, currency=(False, _pattern("[A-Z]{3}")), type=(False, _one_of("purchase", "PURCHASE", "rent", "RENT")), resolution=(False, _one_of("sd", "SD", "hd", "HD"))), _MANY),
         _opt("requires_subscription", _YES_NO), _opt("uploader", _leaf(_any, info=(False, _uri()))),
         _opt("tvshow", Type(seq=[
             _req("show_title", _any), _req("video_type", _one_of("full", "preview", "clip", "interview", "news", "other")), _opt("episode_title", _any),
             _opt("season_number", _number(1, float("inf"), _INTEGER)), _opt("episode_number", _number(1, float("inf"), _INTEGER)), _opt("premier_date", _date),
         ])),
-        _opt("platform", Type(_pattern("((web|mobile|tv)( (web|mobile|tv))*)?"), _RELATION)), _opt("live", _YES_NO),
+        _opt("platform", Type(_pattern(f"(?:{_PLATFORM}(?: {_PLATFORM})*)?"), _RELATION)), _opt("live", _YES_NO),
         _opt("id", _leaf(_any, type=(True, _any)), _MANY),
     ]
 )
 _GLOBAL: dict[tuple[str, str], Type] = {
     (IMAGE, "image"): Type(seq=[_req("loc", _uri()), _opt("caption", _any), _opt("geo_location", _any), _opt("title", _any), _opt("license", _uri())]),
     (NEWS, "news"): Type(seq=[
-        _req("publication", Type(seq=[_req("name", _any), _req("language", _pattern("zh-cn|zh-tw|([a-z]{2,3})"))])), _opt("access", _one_of("Subscription", "Registration")),
+        _req("publication", Type(seq=[_req("name", _any), _req("language", _pattern("[a-z]{2,3}|zh-(?:cn|tw)"))])), _opt("access", _one_of("Subscription", "Registration")),
         _opt("genres", _pattern(f"{_GENRES}(, *{_GENRES})*")), _req("publication_date", _date), _req("title", _any), _opt("keywords", _any),
-        _opt("stock_tickers", _pattern(r"(\w+:\w+(, *\w+:\w+){0,4})?")),
+        _opt("stock_tickers", _pattern(f"(?:{_TICKER}(?:, *{_TICKER}){{0,4}})?")),
     ]),
     (XHTML, "link"): Type(attrs={"rel": (True, _any), "href": (True, _uri()), "hreflang": (False, _any), "media": (False, _any)}),
     (PAGEMAP, "PageMap"): Type(seq=[

@@ -11,15 +11,16 @@ from sitequarry.operators import robots as RB
 from sitequarry.plans.expand import _Node, _Replay
 from sitequarry.rulesets import Context, Ruleset, gsc_submission
 from sitequarry.sources import http as H
+from sitequarry.sources import xmltree
 from sitequarry.sources import documents as S
 from sitequarry.plans.validate import validate
 from sitequarry.streaming.ingest import watch
 
-NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+NS = f'xmlns="{xmltree.CORE}"'
 
 
 def urlset(*locs, extra=""):
-    return f"<urlset {NS} xmlns:xhtml='http://www.w3.org/1999/xhtml' xmlns:image='http://www.google.com/schemas/sitemap-image/1.1'>{''.join(f'<url><loc>{u}</loc>{extra}</url>' for u in locs)}</urlset>".encode()
+    return f"<urlset {NS} xmlns:xhtml='{xmltree.XHTML}' xmlns:image='{xmltree.IMAGE}'>{''.join(f'<url><loc>{u}</loc>{extra}</url>' for u in locs)}</urlset>".encode()
 
 
 def index(*locs):

@@ -21,7 +21,7 @@ from .operators import index as IX
 from .operators import pages as P
 from .operators import report as R
 from .operators import robots as RB
-from .operators.findings import assemble, union
+from .operators.findings import assemble, order, union
 from .plans import discovery
 from .plans import expand as X
 from .plans import validate as V
@@ -134,11 +134,14 @@ def audit(
     below = ex.entries()
     own = S.entries(parsed).withColumn("root", F.col("doc_id")).withColumn("ord", F.lit(0))
     entries = ws.table(own.unionByName(below.select(*own.columns)), "entries")
-    parts = V.findings_parts(parsed, ruleset, protocol_limits)
-    keyed = E.keyed(entries.where("ord > 0").dropDuplicates(["doc_id", "entry_ix"]))
-    sizes = ex.parsed.select("doc_id", F.when(~F.col("gzip"), F.col("byte_size")).alias("byte_size"), F.lit(None).cast("timestamp").alias("fetched_at"))
-    parts += V.protocol_parts(keyed, sizes, ruleset, protocol_limits)
-    parts += [ex.findings(), IX.child_scope_findings(S.children(parsed), ruleset)]
+    kinds = {r.kind for r in parsed.select("kind").distinct().collect()}
+    parts = V.findings_parts(parsed, ruleset, protocol_limits, kinds=kinds)
+    if ex.leaves.head(1):
+        keyed = E.keyed(entries.where("ord > 0").dropDuplicates(["doc_id", "entry_ix"]))
+        sizes = ex.parsed.select("doc_id", F.when(~F.col("gzip"), F.col("byte_size")).alias("byte_size"), F.lit(None).cast("timestamp").alias("fetched_at"))
+        parts += V.protocol_parts(keyed, sizes, ruleset, protocol_limits)
+    if "index" in kinds:
+        parts += [ex.findings(), IX.child_scope_findings(S.children(parsed), ruleset)]
     all_parsed = parsed.unionByName(S.with_base(ex.parsed).select(*parsed.columns)) if ex.parsed.columns else parsed
     urls = S.urls(entries.orderBy("root", "ord", "entry_ix"))
     if on_urls is not None:
@@ -152,8 +155,9 @@ def audit(
         F.when(F.col("kind") == "index", F.size("children")).otherwise(F.size("entries")).alias("page_count"), "gzip", F.when(F.col("error_class").isNull(), "accepted").otherwise("rejected").alias("status"),
         "error_class", F.lit("submitted-directly").alias("provenance"),
     ).withColumnRenamed("error_class", "reason")
+    found = order(ws.table(assemble(spark, parts, mode, ruleset, ordered=False), "findings"))  # read by reports and comparisons again and again
     return Audit(
-        urls, assemble(spark, parts, mode, ruleset), S.sources(all_parsed), S.problems(all_parsed).unionByName(ex.problems()), roots.unionByName(ex.tree), parsed, ex, entries
+        urls, found, S.sources(all_parsed), S.problems(all_parsed).unionByName(ex.problems()), roots.unionByName(ex.tree), parsed, ex, entries
     )
 
 

@@ -59,20 +59,20 @@ def protocol_parts(entries: DataFrame, documents: DataFrame, ruleset: Ruleset |
     ]
 
 
-def findings_parts(parsed: DataFrame, ruleset: Ruleset | None = None, limits: ProtocolLimits = ProtocolLimits(), *, fetched_at: bool = False, encodings: bool = False) -> list[DataFrame]:
+def findings_parts(parsed: DataFrame, ruleset: Ruleset | None = None, limits: ProtocolLimits = ProtocolLimits(), *, fetched_at: bool = False, encodings: bool = False, kinds: set[str] | None = None) -> list[DataFrame]:
     """``parsed``: as ``with_base`` gives it. Two rules need facts that a plain run leaves out, and are off by default: lastmods
-    near the time of the fetch (``fetched_at``) and encoding conflicts (``encodings``)."""
-    xml = parsed.where("kind in ('urlset', 'feed', 'archive')")
-    entries = E.keyed(S.entries(xml))
-    size = F.col("byte_size")
-    sized = xml.select("doc_id", size.alias("byte_size"), (F.col("fetched_at") if fetched_at else F.lit(None).cast("timestamp")).alias("fetched_at"))
-    parts = [
-        error_findings(parsed),
-        D.classification_findings(parsed, ruleset),
-        schema_findings(parsed),
-        E.text_findings(S.text_lines(parsed)),
-        *protocol_parts(entries, sized, ruleset, limits),
-    ]
+    near the time of the fetch (``fetched_at``) and encoding conflicts (``encodings``). ``kinds``, if known, are the kinds of
+    document there are; rules of other kinds are left out of the plan."""
+    some = lambda *names: kinds is None or bool(kinds & set(names))
+    parts = [error_findings(parsed), D.classification_findings(parsed, ruleset)]
+    if some("urlset", "index"):
+        parts.append(schema_findings(parsed))
+    if some("text"):
+        parts.append(E.text_findings(S.text_lines(parsed)))
+    if some("urlset", "feed", "archive"):
+        xml = parsed.where("kind in ('urlset', 'feed', 'archive')")
+        sized = xml.select("doc_id", "byte_size", (F.col("fetched_at") if fetched_at else F.lit(None).cast("timestamp")).alias("fetched_at"))
+        parts += protocol_parts(E.keyed(S.entries(xml)), sized, ruleset, limits)
     if encodings:
         charset = F.nullif(F.regexp_extract(F.lower(F.col("content_type")), r"charset=[\"']?([^\s;\"']+)", 1), F.lit(""))
         parts.append(D.encoding_findings(parsed.withColumn("http_charset", charset)))

@@ -16,6 +16,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.wholeStage", "false")  # many small plans: compiling them would take most of the time
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

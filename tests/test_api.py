@@ -14,6 +14,7 @@ from sitequarry.sources import http as H
 from sitequarry.sources import xmltree
 from sitequarry.sources import documents as S
 from sitequarry.plans.validate import validate
+from sitequarry.storage import Workspace
 from sitequarry.streaming.ingest import watch
 
 NS = f'xmlns="{xmltree.CORE}"'
@@ -175,7 +176,7 @@ def test_archives_and_rulesets(spark):
         ("many.tar.gz", tar([(f"{i}.txt", b"http://a.com/") for i in range(101)])), ("cut.gz", gzip.compress(urlset("http://a.com/abc"))[:-12]), ("f.xml", b"<rss><channel><item><link>http://a.com/1</link><pubDate>Mon, 1 Jan</pubDate></item></channel></rss>"),
         ("t.txt", b"http://a.com/1\n\nrel\n"), ("h.xml", b"<html>"), ("u.xml", b"<opml/>"), ("ns.xml", b"<urlset xmlns='urn:x'><url><loc>http://a.com/abc</loc></url></urlset>"),
     ]
-    parsed = S.with_base(S.parse(S.from_bytes(spark, docs)))
+    parsed = Workspace(spark, "test").table(S.with_base(S.parse(S.from_bytes(spark, docs))), "parsed")
 
     def found(**k):
         out = {}

@@ -37,6 +37,11 @@ def minhash(grams: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1024)
     return out
 
 
+def mixed_bytes(minima: np.ndarray) -> np.ndarray:
+    """A byte of each minimum that is uniform at any length of text: the minima themselves are small numbers, their top bytes near 0."""
+    return (mix64(minima.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+
+
 def _uid() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
@@ -58,7 +63,7 @@ def signatures(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
             if kept:
                 s = np.stack(sigs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids[kept]), binary_rows(s[:, : trees * depth]), binary_rows((s[:, trees * depth :] >> np.uint32(24)).astype(np.uint8))],
+                    [pa.array(uids[kept]), binary_rows(s[:, : trees * depth]), binary_rows(mixed_bytes(s[:, trees * depth :]))],
                     ["uid", "labels", "sketch"],
                 )
 

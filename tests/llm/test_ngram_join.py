@@ -93,3 +93,15 @@ def test_estimated_recall():
     low = J.estimated_recall({24: 10}, 20, 5, 0.5)
     assert abs(low - (1 - (1 - 0.5**5) ** 20)) < 1e-9
     assert J.estimated_recall({24: 10}, 20, 3, 0.5) > low
+
+
+def test_sketches_say_jaccard_at_any_length():
+    import numpy as np
+
+    r, (a, b) = np.random.default_rng(5), J._hashers(480)
+    for length in (300, 1000, 5000):
+        for jaccard in (0.0, 0.5, 0.6):
+            same = round(2 * length * jaccard / (1 + jaccard))
+            g = r.integers(0, 2**64, 2 * length - same, np.uint64)
+            x, y = (J.mixed_bytes(J.minhash(s, a, b)) for s in (g[:length], g[length - same :]))
+            assert abs(J._similar(x, y) - jaccard) < 0.1

@@ -1,12 +1,13 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes, exact set intersection decides.
 
 Every document gets ``trees`` labels of ``depth`` min-hashes. A tree is the trie of all documents' labels in sorted order; two
-documents meet in it if their labels share a prefix. Prefixes start at full length and are shortened, a level at a time, until
-the estimated recall reaches the target. Documents that meet and whose independent sketches don't rule the threshold out are
-linked; the links' connected components are then searched exhaustively, with exact Jaccard of the whole n-gram sets.
+documents meet in it if their labels share a prefix, of the greatest length at which a pair just at the threshold still meets with
+the probability of the target, so that partners are found whatever else is in the table. Documents that meet and whose
+independent sketches don't rule the threshold out are linked; the links' connected components are then searched exhaustively,
+with exact Jaccard of the whole n-gram sets.
 
-Two shuffles a level carry a fixed-size row per document and tree; texts are never shuffled. N-gram sets are shipped once per
-document, and only of documents in a component.
+A shuffle carries a fixed-size row per document and tree; texts are never shuffled. N-gram sets are shipped once per document,
+and only of documents in a component.
 """
 
 from __future__ import annotations
@@ -90,36 +91,31 @@ def _prefixes(sigs: DataFrame, trees: int, depth: int, level: int) -> DataFrame:
     return sigs.mapInArrow(run, "key long, uid long, sketch binary")
 
 
-def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _similar(x: np.ndarray, y: np.ndarray, axis: int = -1) -> np.ndarray:
     """Jaccard as sketches of one byte a hash have it."""
-    return (np.mean(x == y, axis=-1) - 1 / 256) / (1 - 1 / 256)
-
-
-def _link(sketches: np.ndarray, least: float, hist: np.ndarray) -> np.ndarray:
-    """Label of each row's component, of rows that are similar enough; adds every pair's similarity to ``hist``."""
-    m = len(sketches)
-    label = np.full(m, -1)
-    near = np.zeros((m, m), bool)
-    step = max(1, (8 << 20) // (m * SKETCH))
-    for i in range(0, m, step):
-        s = _similar(sketches[i : i + step, None], sketches[None])
-        near[i : i + step] = s >= least
-        hist += np.bincount(np.clip(np.rint(s[np.arange(i, min(i + step, m))[:, None] < np.arange(m)] * SKETCH), 0, SKETCH).astype(np.int64), minlength=SKETCH + 1)
-    for i in range(m):
-        if label[i] < 0:
-            front = np.array([i])
-            label[i] = i
-            while len(front):
-                front = np.flatnonzero(near[front].any(axis=0) & (label < 0))
-                label[front] = i
+    return (np.add.reduce(x == y, axis=axis, dtype=np.uint16) / x.shape[axis] - 1 / 256) / (1 - 1 / 256)
+
+
+def _link(sketches: np.ndarray, least: float) -> np.ndarray:
+    """Label of each row's component, of rows that are similar enough. Rows of a component are compared with those in none yet only; memory is in proportion to the rows."""
+    by_hash, rest = np.ascontiguousarray(sketches.T), np.arange(len(sketches))
+    label = rest.copy()
+    while len(rest) > 1:
+        root, rest = rest[0], rest[1:]
+        front = [root]
+        while front and len(rest):
+            near = _similar(by_hash[:, rest], by_hash[:, front.pop(), None], axis=0) >= least
+            if near.any():
+                label[rest[near]] = root
+                front += rest[near].tolist()
+                rest = rest[~near]
     return label
 
 
 def _meetings(prefixes: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between documents that share a prefix; rows with b null hold the similarity histogram (a bin, n)."""
+    """Links (a, b) between documents that share a prefix."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist = np.zeros(SKETCH + 1, np.int64)
         for t, runs in key_runs(batches, "key"):
             size = np.diff(runs)
             if not (size > 1).any():
@@ -129,26 +125,23 @@ def _meetings(prefixes: DataFrame, least: float) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(size[size > 1])])
             two = starts[:-1][np.diff(starts) == 2]
             s = _similar(sketch[two], sketch[two + 1])
-            hist += np.bincount(np.clip(np.rint(s * SKETCH), 0, SKETCH).astype(np.int64), minlength=SKETCH + 1)
             a, b = [uid[two][s >= least]], [uid[two + 1][s >= least]]
             for i in np.flatnonzero(np.diff(starts) > 2):
                 at = slice(starts[i], starts[i + 1])
                 distinct, back = np.unique(sketch[at].view(f"V{SKETCH}").reshape(-1), return_inverse=True)
-                root = _link(distinct.view(np.uint8).reshape(-1, SKETCH), least, hist)[back]
+                root = _link(distinct.view(np.uint8).reshape(-1, SKETCH), least)[back]
                 first = np.full(len(distinct), -1)
                 first[root[::-1]] = np.arange(len(root))[::-1]
                 ids = uid[at]
                 a.append(ids[first[root]])
                 b.append(ids)
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "n"])
-        bins = np.flatnonzero(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(bins), pa.nulls(len(bins), pa.int64()), pa.array(hist[bins])], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, n long").where("b is null or a <> b")
+    return prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def estimated_recall(hist: dict[int, int], trees: int, level: int, threshold: float) -> float:
+def estimated_recall(hist: dict[float, int], trees: int, level: int, threshold: float) -> float:
     """Share of the pairs at or above the threshold that meet, from the similarities of the meetings there were.
 
     A pair of similarity s meets in trees * s^level trees on average: a meeting stands for the inverse of that many pairs, of
@@ -168,15 +161,11 @@ def candidate_components(ws: Workspace, docs: DataFrame, n: int, threshold: floa
     """(node = uid, component) of the documents linked with another, and how many there are."""
     sigs = ws.table(signatures(docs, n, trees, depth), "signatures")
     least = threshold - _MARGIN * (threshold * (1 - threshold) / SKETCH) ** 0.5
-    floor = next((d for d in range(depth, 1, -1) if 1 - (1 - threshold**d) ** trees >= target), 1)
-    for level in range(depth, 0, -1):
-        met = ws.table(_meetings(_prefixes(sigs, trees, depth, level), least), f"level-{level}")
-        if level <= floor or estimated_recall({r.a: r.n for r in met.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).collect()}, trees, level, threshold) >= target:
-            break
-        ws.drop(f"level-{level}")
+    level = next((d for d in range(depth, 1, -1) if estimated_recall({threshold * SKETCH: 1}, trees, d, 0) >= target), 1)
+    met = ws.table(_meetings(_prefixes(sigs, trees, depth, level), least), "met")
     ws.drop("signatures")
-    comp = ws.table(connected_components(ws, met.where("b is not null").select("a", "b")), "components")
-    ws.drop(f"level-{level}")
+    comp = ws.table(connected_components(ws, met), "components")
+    ws.drop("met")
     return comp, comp.count()
 
 

@@ -105,3 +105,24 @@ def test_sketches_say_jaccard_at_any_length():
             g = r.integers(0, 2**64, 2 * length - same, np.uint64)
             x, y = (J.mixed_bytes(J.minhash(s, a, b)) for s in (g[:length], g[length - same :]))
             assert abs(J._similar(x, y) - jaccard) < 0.1
+
+
+def test_a_hot_group_does_not_hide_small_ones(spark):
+    """Pairs just above the threshold, beside a group of near copies."""
+    rows = [(k, " ".join(f"h{j}" if j != k % 120 else f"x{k}" for j in range(120))) for k in range(200)]
+    for k in range(100):
+        rows += [(1000 + 2 * k + side, " ".join(f"p{k}x{j}" if j < 84 else f"p{k}x{j}s{side}" for j in range(120))) for side in (0, 1)]
+    got = {(r.doc_id_a, r.doc_id_b) for r in J.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id_a >= 1000").collect()}
+    assert got <= {(1000 + 2 * k, 1001 + 2 * k) for k in range(100)} and len(got) >= 95
+
+
+def test_links_are_components_of_similar_sketches():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    base = r.integers(0, 256, (6, J.SKETCH), np.uint8)
+    own = np.repeat(np.arange(6), 20)
+    x = base[own]
+    x[np.arange(120), r.integers(0, J.SKETCH, 120)] ^= 1
+    label = J._link(x, 0.4)
+    assert (label == own * 20).all()

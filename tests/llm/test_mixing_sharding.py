@@ -89,3 +89,20 @@ def test_shards(nasty, none, spark):
     assert S.shard(none).count() == 0
     with pytest.raises(ValueError):
         S.shard(nasty, shards=0)
+
+
+def test_more_sources_than_a_dense_hessian_takes(spark):
+    rows = [(i, "word " * (1 + i % 7), f"s{i}") for i in range(3100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(tuple(r[c] for c in ("doc_id", "source", "rate", "copies")) for r in M.mix(docs).collect()) == sorted(copies(rows))
+    got = {r.source: r.rate for r in M.mix(docs, targets={"source": {f"s{i}": 3.0 for i in range(3100)}}).collect()}
+    assert all(abs(got[s] - 3 / len(t.split())) < 1e-8 for _, t, s in rows)
+
+
+def test_conjugate_gradients_step_as_the_dense_hessian(spark, monkeypatch):
+    rows = [(i, "word " * (3 + i), f"s{i % 2}", f"g{i % 3}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    want = {"source": {"s0": 15.0, "s1": 18.0}, "lang": {"g0": 12.0, "g1": 11.0, "g2": 10.0}}
+    dense = {r.doc_id: r.rate for r in M.mix(docs, targets=want).collect()}
+    monkeypatch.setattr(M, "MOST", 2)
+    assert all(abs(dense[r.doc_id] - r.rate) < 1e-6 for r in M.mix(docs, targets=want).collect())

@@ -13,10 +13,9 @@ from .findings import finding, hits
 def connected_components(ws: Workspace, edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
     """(node, component): component is the least node it is connected with. ``edges``: a, b of any ordered type; a node without edges is absent.
 
-    Alternating large-star and small-star steps, two shuffles of the edge list a round, each round written out. The number of
+    Alternating large-star and small-star steps, each round written out. The number of
     rounds is logarithmic in the longest path. Null ends and self loops are ignored.
     """
-    w = Window.partitionBy("u")
     now = ws.table(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -24,12 +23,15 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "component
         f"{name}-start",
     )
     last, before = f"{name}-start", None
+
+    def with_least(pairs: DataFrame) -> DataFrame:
+        """m: the least of u and its neighbours. Combined before the shuffle; AQE splits the join's partition of a hub."""
+        return pairs.join(pairs.groupBy("u").agg(F.least(F.min("v"), "u").alias("m")), "u")
+
     for i in range(rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.withColumn("m", F.least(F.min("v").over(w), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        small = large.distinct().withColumn("m", F.min("v").over(w))
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = with_least(large.distinct())
         flat = F.array(F.struct("v", F.col("m").alias("r")), F.struct(F.col("u").alias("v"), F.col("m").alias("r")))
         step = (
             small.select(F.explode(flat).alias("e"))

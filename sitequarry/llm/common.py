@@ -9,13 +9,19 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..operators.graph import connected_components
 from ..storage import BROADCAST_BYTES, Workspace, broadcast_if_small, shared_dir
 
 _WORD = re.compile(r"\w+")
 
-__all__ = ["BROADCAST_BYTES", "TokenHash", "Workspace", "binary_rows", "broadcast_if_small", "connected_components", "fixed_rows", "key_runs", "lower", "mix64", "rolling", "shared_dir", "shingles", "word_spans", "words"]
+__all__ = [
+    "BROADCAST_BYTES", "IdFilter", "TokenHash", "Workspace", "binary_rows", "broadcast_if_small", "connected_components", "fixed_rows", "free_names", "key_runs", "lower", "mix64", "rolling", "row_id", "shared_dir", "shingles",
+    "word_spans", "words",
+]
 
 
 def key_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -116,3 +122,51 @@ def rolling(tokens: np.ndarray, n: int) -> np.ndarray:
 def shingles(tokens: np.ndarray, n: int) -> np.ndarray:
     """``rolling``, but a text of 1 to n-1 tokens has one shingle, itself."""
     return rolling(tokens, min(n, len(tokens))) if len(tokens) else np.empty(0, np.uint64)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that ``df`` has no column of (names are compared without case, as Spark does)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_id(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Two longs, 128 bits together, that identify a row by these columns; nulls count as values, maps not at all."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    own = [c for c in columns if not isinstance(kinds[c], MapType)]
+    values = [F.col("`" + c.replace("`", "``") + "`") for c in own]
+    nulls = F.concat(F.lit(""), *[F.when(v.isNull(), "1").otherwise("0") for v in values])
+    return [F.xxhash64(F.lit(seed), nulls, *values) for seed in (0x51ED27, 0x2545F491)]
+
+
+class IdFilter:
+    """A Bloom filter of 128-bit ids, built by a distributed aggregation, ``BITS_EACH`` bits an id and ``BROADCAST_BYTES`` at most: with
+    more ids than that it lets more others through, but never stops one of its own."""
+
+    BITS_EACH, HASHES, MOST_BITS = 12, 3, BROADCAST_BYTES * 8
+
+    def __init__(self, ids: DataFrame, rows: int):
+        """``ids``: two long columns, of so many rows."""
+        self.bits = min(self.MOST_BITS, 1 << max(10, (self.BITS_EACH * rows - 1).bit_length()))
+        h, g = (F.col(c) for c in ids.columns)
+        at = F.explode(F.array(*[F.pmod(F.xxhash64(h, g, F.lit(k)), F.lit(self.bits)) for k in range(self.HASHES)]))
+        words_of = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+        self.words = np.zeros(self.bits >> 6, np.int64)
+        self.words[words_of.column("w").to_numpy()] = words_of.column("b").to_numpy()
+
+    @classmethod
+    def places(cls, h: Column, g: Column) -> list[Column]:
+        """What ``holds`` wants, for the ids of a table."""
+        return [F.xxhash64(h, g, F.lit(k)) for k in range(cls.HASHES)]
+
+    def holds(self, places: list[np.ndarray]) -> np.ndarray:
+        found = np.ones(len(places[0]), bool)
+        for p in places:
+            p = p & np.int64(self.bits - 1)
+            found &= (self.words[p >> 6] >> (p & 63)) & 1 > 0
+        return found

@@ -1,13 +1,13 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes, exact set intersection decides.
 
-Every document gets ``trees`` labels of ``depth`` min-hashes. A tree is the trie of all documents' labels in sorted order; two
-documents meet in it if their labels share a prefix, of the greatest length at which a pair just at the threshold still meets with
-the probability of the target, so that partners are found whatever else is in the table. Documents that meet and whose
-independent sketches don't rule the threshold out are linked; the links' connected components are then searched exhaustively,
-with exact Jaccard of the whole n-gram sets.
-
-A shuffle carries a fixed-size row per document and tree; texts are never shuffled. N-gram sets are shipped once per document,
-and only of documents in a component.
+Every different n-gram set gets ``trees`` labels of ``depth`` min-hashes. A tree is the trie of all labels in sorted order. Two sets
+meet at the longest prefix that their labels share; matched prefixes are shortened step by step, from whole labels to the length
+at which a pair just at the threshold still meets with the probability of the target, so that partners are found whatever else is
+in the table. Sets that meet and whose independent sketches don't rule the threshold out are linked. Within a connected group of
+links all pairs are then decided by exact intersections.
+
+Texts are never shuffled, whatever their number. Copies are one set from the start. A bucket of the forest with very many
+different sets is dealt over several tasks, and a large group is verified in pairs of blocks, so that no task holds a whole one.
 """
 
 from __future__ import annotations
@@ -16,13 +16,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import TokenHash, Workspace, binary_rows, broadcast_if_small, connected_components, fixed_rows, key_runs, mix64, shingles, words
+from .common import IdFilter, TokenHash, Workspace, binary_rows, broadcast_if_small, connected_components, fixed_rows, free_names, key_runs, mix64, row_id, shingles, words
 
-N, THRESHOLD, TREES, DEPTH, SKETCH, TARGET = 3, 0.5, 20, 5, 48, 0.95
+N, THRESHOLD, TREES, DEPTH, SKETCH, TARGET = 3, 0.5, 24, 4, 48, 0.95
+#: Rows of a bucket of the forest that one task may hold; sets and n-grams of a block of a large group.
+BUCKET, BLOCK_SETS, BLOCK_GRAMS = 50_000, 2048, 2_000_000
 _MARGIN = 3.0  # standard deviations below the threshold that a sketch may say before a pair is passed over
+_DIGEST = 16
 
 
 def _hashers(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,52 +48,83 @@ def mixed_bytes(minima: np.ndarray) -> np.ndarray:
     return (mix64(minima.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
 
 
-def _uid() -> F.Column:
-    return F.xxhash64("doc_id", "text")
+def meeting_probability(similarity: float, trees: int, length: int) -> float:
+    """That labels of two sets share a prefix of this length in one tree at least."""
+    return 1 - (1 - similarity**length) ** trees
 
 
-def signatures(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """(uid, labels, sketch) of the documents that have a token at all."""
+def least_length(threshold: float, trees: int, depth: int, target: float) -> int:
+    """How far matched prefixes are shortened: the longest at which a pair just at the threshold meets with the target's probability."""
+    return next((d for d in range(depth, 1, -1) if meeting_probability(threshold, trees, d) >= target), 1)
+
+
+def signatures(docs: DataFrame, identity: list[str], n: int, trees: int, depth: int) -> DataFrame:
+    """A row per document: its id, the 128-bit identity (h, g) of the row, the digest ``d`` of its n-gram set and their number.
+
+    Documents without a token have a null digest. Labels and sketch come with the first row of each set in a task.
+    """
+    own = docs.select("doc_id", *(c.alias(k) for c, k in zip(row_id(docs, identity), "hg", strict=True)), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _hashers(trees * depth + SKETCH)
-        hasher = TokenHash()
-        for batch in batches:
-            texts, uids = batch.column("text"), batch.column("uid").to_numpy()
-            kept, sigs = [], []
-            for i, text in enumerate(texts):
-                hasher.trim()
-                if len(g := shingles(hasher.of(words(text.as_py())), n)):
-                    kept.append(i)
-                    sigs.append(minhash(g, a, b))
-            if kept:
-                s = np.stack(sigs)
+        hasher, known = TokenHash(), set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                digests, sizes, labels, sketches = [], [], [], []
+                for text in batch.column("text"):
+                    hasher.trim()
+                    g = np.unique(shingles(hasher.of(words(text.as_py())), n))
+                    d = xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None
+                    digests.append(d), sizes.append(len(g))
+                    if d is None or d in known:
+                        labels.append(None), sketches.append(None)
+                        continue
+                    known.add(d)
+                    s = minhash(g, a, b)
+                    labels.append(s[: trees * depth].tobytes()), sketches.append(mixed_bytes(s[trees * depth :]).tobytes())
+                if len(known) > 1_000_000:
+                    known.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids[kept]), binary_rows(s[:, : trees * depth]), binary_rows(mixed_bytes(s[:, trees * depth :]))],
-                    ["uid", "labels", "sketch"],
+                    [batch.column("doc_id"), batch.column("h"), batch.column("g"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(labels, pa.binary()), pa.array(sketches, pa.binary())],
+                    ["doc_id", "h", "g", "d", "n", "labels", "sketch"],
                 )
 
-    return docs.select(_uid().alias("uid"), "text").mapInArrow(run, "uid long, labels binary, sketch binary")
+    schema = [docs.schema["doc_id"], *(StructField(c, k) for c, k in zip("hgdn", (LongType(), LongType(), BinaryType(), IntegerType()), strict=True)), StructField("labels", BinaryType()), StructField("sketch", BinaryType())]
+    return own.mapInArrow(run, StructType(schema))
+
 
+def _paths(labels: pa.Array, trees: int, depth: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set and tree: hash of the tree and the first ``length`` steps of the label; the other steps, in the order of bytes."""
+    own = fixed_rows(pa.chunked_array([labels]), np.uint32, trees * depth).reshape(-1, trees, depth)
+    key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), own.shape[:2])
+    for d in range(length):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + own[:, :, d])
+    return key.reshape(-1).view(np.int64), own[:, :, length:].reshape(len(own) * trees, depth - length).astype(">u4")
 
-def _prefixes(sigs: DataFrame, trees: int, depth: int, level: int) -> DataFrame:
-    """A row per document and tree: the hash of the tree and the first ``level`` steps of the label."""
+
+def _rows(sets: DataFrame, trees: int, depth: int, length: int) -> DataFrame:
+    """The forest: a row per set and tree."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                labels = fixed_rows(pa.chunked_array([batch.column("labels")]), np.uint32, trees * depth).reshape(-1, trees, depth)
-                key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), labels.shape[:2])
-                for d in range(level):
-                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + labels[:, :, d])
+                key, rest = _paths(batch.column("labels"), trees, depth, length)
                 sketch = fixed_rows(pa.chunked_array([batch.column("sketch")]), np.uint8, SKETCH)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("uid").to_numpy(), trees)), binary_rows(np.repeat(sketch, trees, axis=0))],
-                    ["key", "uid", "sketch"],
-                )
+                d = fixed_rows(pa.chunked_array([batch.column("d")]), np.uint8, _DIGEST)
+                yield pa.RecordBatch.from_arrays([pa.array(key), binary_rows(rest), binary_rows(np.repeat(d, trees, axis=0)), binary_rows(np.repeat(sketch, trees, axis=0))], ["key", "rest", "d", "sketch"])
 
-    return sigs.mapInArrow(run, "key long, uid long, sketch binary")
+    return sets.select("labels", "d", "sketch").mapInArrow(run, "key long, rest binary, d binary, sketch binary")
+
+
+def _bucket_keys(sets: DataFrame, trees: int, depth: int, length: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(_paths(whole.column("labels").slice(at, 4096), trees, depth, length)[0])], ["key"])
+
+    return sets.select("labels").mapInArrow(run, "key long")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, axis: int = -1) -> np.ndarray:
@@ -96,198 +132,324 @@ def _similar(x: np.ndarray, y: np.ndarray, axis: int = -1) -> np.ndarray:
     return (np.add.reduce(x == y, axis=axis, dtype=np.uint16) / x.shape[axis] - 1 / 256) / (1 - 1 / 256)
 
 
-def _link(sketches: np.ndarray, least: float) -> np.ndarray:
-    """Label of each row's component, of rows that are similar enough. Rows of a component are compared with those in none yet only; memory is in proportion to the rows."""
+def _link(sketches: np.ndarray, least: float, group: np.ndarray | None = None) -> np.ndarray:
+    """Label of each row's component, of rows that are similar enough or of one ``group``. Rows of a component are compared with
+    those in none yet only; memory is in proportion to the rows."""
     by_hash, rest = np.ascontiguousarray(sketches.T), np.arange(len(sketches))
-    label = rest.copy()
+    group = rest if group is None else group
+    label = group.copy()
     while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        front = [root]
+        root = group[rest[0]]
+        mine = group[rest] == root
+        front, rest = rest[mine].tolist(), rest[~mine]
         while front and len(rest):
             near = _similar(by_hash[:, rest], by_hash[:, front.pop(), None], axis=0) >= least
             if near.any():
-                label[rest[near]] = root
-                front += rest[near].tolist()
-                rest = rest[~near]
+                hit = np.isin(group[rest], group[rest[near]])
+                label[rest[hit]] = root
+                front += rest[hit].tolist()
+                rest = rest[~hit]
+    return label
+
+
+def _descend(sketch: np.ndarray, rest: np.ndarray, least: float) -> np.ndarray:
+    """Components of a sorted bucket: rows of equal labels first, then of prefixes one step shorter each time, down to the bucket."""
+    label = np.arange(len(sketch))
+    for steps in range(rest.shape[1], -1, -1):
+        cut = np.flatnonzero((rest[1:, :steps] != rest[:-1, :steps]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cut], [*cut, len(sketch)], strict=True):
+            if hi - lo > 1 and (label[lo:hi] != label[lo]).any():
+                label[lo:hi] = _link(sketch[lo:hi], least, label[lo:hi])
     return label
 
 
-def _meetings(prefixes: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between documents that share a prefix."""
+def _meetings(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the sets of each bucket, in stars. In a bucket that is dealt over tasks (column ``lead``) a row of
+    null ``b`` tells of a set that has no part in the component of the bucket's leader."""
+    dealt = "lead" in rows.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, runs in key_runs(batches, "key"):
             size = np.diff(runs)
             if not (size > 1).any():
                 continue
-            rows = np.flatnonzero(np.repeat(size > 1, size))
-            uid, sketch = t.column("uid").to_numpy()[rows], fixed_rows(t.column("sketch").take(pa.array(rows)), np.uint8, SKETCH)
+            kept = pa.array(np.flatnonzero(np.repeat(size > 1, size)))
+            d, sketch = (fixed_rows(t.column(c).take(kept), np.uint8, w) for c, w in (("d", _DIGEST), ("sketch", SKETCH)))
+            steps = len(t.column("rest")[0].as_py()) // 4
+            rest = fixed_rows(t.column("rest").take(kept), np.uint32, steps) if steps else np.empty((len(d), 0), np.uint32)
+            lead = t.column("lead").take(kept).to_numpy() if dealt else None
             starts = np.concatenate([[0], np.cumsum(size[size > 1])])
-            two = starts[:-1][np.diff(starts) == 2]
-            s = _similar(sketch[two], sketch[two + 1])
-            a, b = [uid[two][s >= least]], [uid[two + 1][s >= least]]
-            for i in np.flatnonzero(np.diff(starts) > 2):
-                at = slice(starts[i], starts[i + 1])
-                distinct, back = np.unique(sketch[at].view(f"V{SKETCH}").reshape(-1), return_inverse=True)
-                root = _link(distinct.view(np.uint8).reshape(-1, SKETCH), least)[back]
-                first = np.full(len(distinct), -1)
-                first[root[::-1]] = np.arange(len(root))[::-1]
-                ids = uid[at]
-                a.append(ids[first[root]])
-                b.append(ids)
+            two = starts[:-1][np.diff(starts) == 2] if not dealt else np.empty(0, np.int64)
+            two = two[_similar(sketch[two], sketch[two + 1]) >= least]
+            a, b, strays = [two], [two + 1], []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if dealt or hi - lo > 2:
+                    label = _descend(sketch[lo:hi], rest[lo:hi], least)
+                    a.append(lo + label)
+                    b.append(np.arange(lo, hi))
+                    if dealt:
+                        strays.append(lo + np.flatnonzero(label != label[np.argmax(lead[lo:hi])]))
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a, b = a[a != b], b[a != b]
+            yield pa.RecordBatch.from_arrays([binary_rows(d[a]), binary_rows(d[b])], ["a", "b"])
+            if dealt and len(s := np.concatenate(strays)):
+                yield pa.RecordBatch.from_arrays([binary_rows(d[s]), pa.nulls(len(s), pa.binary())], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(run, "a binary, b binary")
+
+
+def _links(ws: Workspace, sets: DataFrame, least: float, trees: int, depth: int, length: int) -> DataFrame:
+    """Links of all buckets. A bucket of more than ``BUCKET`` sets is dealt over tasks, each of which gets the bucket's leader too:
+    sets connected with the leader anywhere are connected; the others go to every task of the bucket in a second turn."""
+    rows = _rows(sets, trees, depth, length)
+    hot = ws.table(_bucket_keys(sets, trees, depth, length).groupBy("key").count().where(F.col("count") > BUCKET), "hot")
+    many = hot.count()
+    if not many:
+        return ws.table(_meetings(rows, least), "met")
+    own = rows.join(broadcast_if_small(hot, many, 32), "key")
+    dealt = own.withColumn("parts", F.ceil(F.col("count") / BUCKET).cast("int")).withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")))
+    leaders = own.groupBy("key").agg(F.min("d").alias("d")).withColumn("lead", F.lit(True))
+    home = ws.table(dealt.join(leaders, ["key", "d"], "left").withColumn("lead", F.coalesce("lead", F.lit(False))), "dealt")
+    cell = F.xxhash64("key", "part").alias("key")
+
+    def everywhere(some: DataFrame) -> DataFrame:
+        return some.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    first = home.where("not lead").unionByName(everywhere(home.where("lead")))
+    first = ws.table(_meetings(first.select(cell, "rest", "d", "sketch", "lead"), least), "met-hot")
+    strays = home.join(first.where("b is null").select(F.col("a").alias("d")).distinct(), "d", "left_semi")  # a stray of one bucket is asked for in all
+    strays = ws.table(everywhere(strays), "strays")
+    again = home.select(cell, "rest", "d", "sketch").unionByName(strays.select(cell, "rest", "d", "sketch"))
+    met = _meetings(rows.join(broadcast_if_small(hot, many, 32), "key", "left_anti"), least).unionByName(first.where("b is not null"))
+    return ws.table(met.unionByName(_meetings(again, least)) if strays.head(1) else met, "met")
+
+
+def _shared(sets: list[np.ndarray], most: int = 4096) -> np.ndarray:
+    """Sizes of all intersections. N-grams of many sets are counted by a product of presence matrices, those of few by their pairs."""
+    m, sizes = len(sets), np.array([len(s) for s in sets])
+    out = np.zeros((m, m), np.float32)
+    owner = np.repeat(np.arange(m), sizes)
+    _, gram, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(gram, kind="stable")
+    posting, start, edge = owner[order], np.cumsum(df) - df, max(8, 0.08 * m)
+    flat = out.reshape(-1)
+    for f in np.unique(df[(df > 1) & (df < edge)]):
+        at = posting[start[df == f][:, None] + np.arange(f)]
+        for lo in range(0, len(at), max(1, 2_000_000 // (f * f))):
+            p = at[lo : lo + max(1, 2_000_000 // (f * f))]
+            np.add.at(flat, (p[:, :, None] * m + p[:, None, :]).reshape(-1), 1)
+    heavy = np.flatnonzero(df >= edge)
+    for lo in range(0, len(heavy), most):
+        own = heavy[lo : lo + most]
+        x = np.zeros((m, len(own)), np.float32)
+        n = df[own]
+        at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        x[posting[at], np.repeat(np.arange(len(own)), n)] = 1
+        out += x @ x.T
+    return out
 
-    return prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").where("a <> b")
 
+def similar_pairs(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> np.ndarray:
+    """Which sets have a Jaccard of at least ``threshold``, as a matrix (nothing is similar to itself); of ``side``, only pairs across."""
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        x = len(np.intersect1d(*sets, assume_unique=True))
+        hit = np.array([[False, True], [True, False]]) & (x >= threshold * (sizes.sum() - x))
+    else:
+        x = _shared(sets)
+        hit = x / (sizes[:, None] + sizes[None] - x) >= threshold
+        np.fill_diagonal(hit, False)
+    return hit if side is None else hit & (side[:, None] != side[None])
+
+
+def _roots(hit: np.ndarray) -> np.ndarray:
+    """The first row of each row's component."""
+    label = np.arange(len(hit))
+    for i in range(len(hit)):
+        own = np.unique(label[np.append(np.flatnonzero(hit[i, i:]) + i, i)])
+        if len(own) > 1:
+            label[np.isin(label, own)] = own[0]
+    return label
 
-def estimated_recall(hist: dict[float, int], trees: int, level: int, threshold: float) -> float:
-    """Share of the pairs at or above the threshold that meet, from the similarities of the meetings there were.
 
-    A pair of similarity s meets in trees * s^level trees on average: a meeting stands for the inverse of that many pairs, of
-    which 1 - (1 - s^level)^trees are found. Without any meeting it is unknown, given as 0.
-    """
-    met = pairs = 0.0
-    for bin_, n in hist.items():
-        s = bin_ / SKETCH
-        if s >= threshold:
-            p = s**level
-            pairs += n / (trees * p)
-            met += n / (trees * p) * (1 - (1 - p) ** trees)
-    return met / pairs if pairs else 0.0
-
-
-def candidate_components(ws: Workspace, docs: DataFrame, n: int, threshold: float, trees: int, depth: int, target: float) -> tuple[DataFrame, int]:
-    """(node = uid, component) of the documents linked with another, and how many there are."""
-    sigs = ws.table(signatures(docs, n, trees, depth), "signatures")
-    least = threshold - _MARGIN * (threshold * (1 - threshold) / SKETCH) ** 0.5
-    level = next((d for d in range(depth, 1, -1) if estimated_recall({threshold * SKETCH: 1}, trees, d, 0) >= target), 1)
-    met = ws.table(_meetings(_prefixes(sigs, trees, depth, level), least), "met")
-    ws.drop("signatures")
-    comp = ws.table(connected_components(ws, met), "components")
-    ws.drop("met")
-    return comp, comp.count()
+def _verified(ws: Workspace, docs: DataFrame, sets: DataFrame, comp: DataFrame, identity: list[str], n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((d, links): how many other sets each is similar to; (d, root): the connected group of each that is similar to any).
 
+    N-gram sets are made again from one document of each set, found by a Bloom filter of their ids while the texts are read.
+    """
+    own = ws.table(comp.withColumnRenamed("node", "d").join(sets.select("d", "n", "h", "g"), "d"), "members")
+    size = own.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
+    own = ws.table(own.join(size, "component").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")), "blocks")
+    shared = docs.sparkSession.sparkContext.broadcast(IdFilter(own.select("h", "g"), own.count()))
 
-def _overlaps(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each set i: the later ones of Jaccard >= threshold, and the Jaccards. Inverted lists, so that unrelated sets cost nothing."""
-    sizes = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        x = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        j = x / (sizes.sum() - x)
-        yield 0, np.array([1] if j >= threshold else [], np.int64), np.array([j] if j >= threshold else [])
-        return
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, gram = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(gram, kind="stable")
-    posting, df = owner[order], np.bincount(gram)
-    start, ends = np.cumsum(df) - df, np.cumsum(sizes)
-    for i in range(len(sets) - 1):
-        g = gram[ends[i] - sizes[i] : ends[i]]
-        g = g[df[g] > 1]
-        many = df[g]
-        at = np.repeat(start[g] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        x = np.bincount(posting[at], minlength=len(sets))[i + 1 :]
-        j = x / (sizes[i] + sizes[i + 1 :] - x)
-        hit = np.flatnonzero(j >= threshold)
-        yield i, hit + i + 1, j[hit]
-
-
-def _members(docs: DataFrame, comp: DataFrame, rows: int, n: int) -> DataFrame:
-    """(component, uid, doc_id, grams), the rows of a component together."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = TokenHash()
+    def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, known = TokenHash(), set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            places = [whole.column(f"p{k}").to_numpy() for k in range(IdFilter.HASHES)]
+            kept = np.flatnonzero(shared.value.holds(places))
+            for at in range(0, len(kept), 256):
+                batch = whole.take(pa.array(kept[at : at + 256]))
+                ids = list(zip(batch.column("h").to_pylist(), batch.column("g").to_pylist(), strict=True))
+                fresh = []
+                for i, x in enumerate(ids):
+                    if x not in known:
+                        known.add(x)
+                        fresh.append(i)
+                if len(known) > 1_000_000:
+                    known.clear()
                 hasher.trim()
-                grams = pa.array([np.unique(shingles(hasher.of(words(t.as_py())), n)).tobytes() for t in batch.column("text")], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("component", "uid", "doc_id")] + [grams], ["component", "uid", "doc_id", "grams"])
+                batch = batch.take(pa.array(fresh, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), pa.array([np.unique(shingles(hasher.of(words(t.as_py())), n)).tobytes() for t in batch.column("text")], pa.binary())], ["h", "g", "grams"])
+
+    texts = docs.select(*(c.alias(k) for c, k in zip(row_id(docs, identity), "hg", strict=True)), "text")
+    texts = texts.select("h", "g", *(c.alias(f"p{k}") for k, c in enumerate(IdFilter.places(F.col("h"), F.col("g")))), "text")
+    held = own.join(texts.mapInArrow(grams, "h long, g long, grams binary"), ["h", "g"])
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = held.select("d", "grams", "component", "block", "blocks", other).select(
+        F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "d", "grams",
+        F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"), (F.col("blocks") == 1).alias("alone"),
+    )
 
-    own = docs.select(_uid().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = own.join(broadcast_if_small(comp.select(F.col("node").alias("uid"), "component"), rows, 32), "uid").select("component", "uid", "doc_id", "text")
-    return joined.mapInArrow(run, "component long, uid long, doc_id long, grams binary").repartition("component").sortWithinPartitions("component", "uid")
-
-
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
-    """Of each component: uids, doc_ids (null as the largest long), its distinct sets, and the set of each document. Repeated rows count once."""
-    for t, runs in key_runs(batches, "component"):
-        uids, grams = t.column("uid").to_numpy(), t.column("grams")
-        ids = t.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()
-        for lo, hi in zip(runs[:-1], runs[1:], strict=True):
-            first = np.unique(uids[lo:hi], return_index=True)[1] + lo
-            known: dict[bytes, int] = {}
-            of = np.array([known.setdefault(grams[int(i)].as_py(), len(known)) for i in first])
-            yield uids[first], ids[first], [np.frombuffer(k, np.uint64) for k in known], of
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, runs in key_runs(batches, "key"):
+            d, grams, side = t.column("d").to_pylist(), t.column("grams"), t.column("side").to_numpy()
+            alone = t.column("alone").to_pylist()
+            node, root, links, whole = [], [], [], []
+            for lo, hi in zip(runs[:-1], runs[1:], strict=True):
+                at = [i for i in range(lo, hi) if i == lo or d[i] != d[i - 1]]
+                if len(at) < 2:
+                    continue
+                hit = similar_pairs([np.frombuffer(grams[i].as_py(), np.uint64) for i in at], threshold, None if side[lo] < 0 else side[at])
+                count, first = hit.sum(axis=1), _roots(hit)
+                for i in np.flatnonzero(count):
+                    node.append(d[at[i]]), root.append(d[at[first[i]]]), links.append(int(count[i])), whole.append(alone[lo])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(root, pa.binary()), pa.array(links, pa.int64()), pa.array(whole, pa.bool_())], ["d", "root", "links", "whole"])
+
+    found = ws.table(cells.repartition("key").sortWithinPartitions("key", "d").mapInArrow(run, "d binary, root binary, links long, whole boolean"), "verified")
+    parts = found.where("not whole")
+    group = found.where("whole").select("d", "root")
+    if parts.head(1):
+        group = group.unionByName(connected_components(ws, parts.select(F.col("d").alias("a"), F.col("root").alias("b")), "groups").select(F.col("node").alias("d"), F.col("component").alias("root")))
+    return found.groupBy("d").agg(F.sum("links").alias("links")), group
+
+
+def similarity_groups(ws: Workspace, docs: DataFrame, identity: list[str], n: int, threshold: float, trees: int, depth: int, target: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures, (d, links), (d, root)): see ``signatures`` and ``_verified``."""
+    sigs = ws.table(signatures(docs, identity, n, trees, depth), "signatures")
+    sets = ws.table(sigs.where("labels is not null").select("d", "n", "h", "g", "labels", "sketch").dropDuplicates(["d"]), "sets")
+    least = threshold - _MARGIN * (threshold * (1 - threshold) / SKETCH) ** 0.5
+    met = _links(ws, sets, least, trees, depth, least_length(threshold, trees, depth, target))
+    comp = ws.table(connected_components(ws, met), "components")
+    ws.drop("met")
+    return sigs, *_verified(ws, docs, sets, comp, identity, n, threshold)
 
 
 def ngram_jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> DataFrame:
-    """All pairs (doc_id_a < doc_id_b, jaccard) of documents whose sets of word n-grams have Jaccard >= ``threshold``.
+    """A row per document: doc_id, class_id, copies, links.
+
+    Two documents are linked if their sets of word n-grams have a Jaccard of at least ``threshold``. ``class_id`` is the least doc_id of
+    the connected group (the document's own if it is linked with none); ``copies`` counts the documents of the very same set, itself
+    included; ``links`` the other sets that are linked with its set.
 
-    Tokens are lower-case ``\\w+`` runs; a text of fewer than n tokens is one gram. Null, empty and token-less texts pair with
-    nothing; rows of null doc_id are in no pair; repeated rows count once; different texts under one doc_id are compared with the
-    others separately, and the best Jaccard of two ids is given. Other columns are ignored. An empty table gives no rows.
+    Tokens are lower-case ``\\w+`` runs of whole texts, however long; a text of fewer than n tokens is one gram. A text without a token
+    (null, empty) is alone in its class, with 1 copy and no link. Rows of null doc_id have no part in anything and no row. Repeated
+    rows count once. Different texts under one doc_id have a row for each different set, in the class of that set. doc_id may be of
+    any type that has an order. Other columns, whatever their names, are ignored. An empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession, "ngram-join")
-    comp, rows = candidate_components(ws, docs, n, threshold, trees, depth, target)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, sets, of in _groups(batches):
-            by = np.argsort(of, kind="stable")
-            member = np.split(ids[by], np.cumsum(np.bincount(of, minlength=len(sets)))[:-1])
-            a, b, j = [], [], []
-            for m in member:
-                x, y = np.triu_indices(len(m), 1)
-                a.append(m[x]), b.append(m[y]), j.append(np.ones(len(x)))
-            for i, others, js in _overlaps(sets, threshold) if len(sets) > 1 else ():
-                for k, one in zip(others, js, strict=True):
-                    a.append(np.repeat(member[i], len(member[k]))), b.append(np.tile(member[k], len(member[i]))), j.append(np.full(len(member[i]) * len(member[k]), one))
-            a, b, j = np.concatenate(a), np.concatenate(b), np.concatenate(j)
-            ok = (a != b) & (np.maximum(a, b) < np.iinfo(np.int64).max)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(j[ok])], ["doc_id_a", "doc_id_b", "jaccard"])
-
-    pairs = _members(docs, comp, rows, n).mapInArrow(run, "doc_id_a long, doc_id_b long, jaccard double")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        pairs = pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-    return pairs
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    sigs, links, group = similarity_groups(ws, docs, ["doc_id", "text"], n, threshold, trees, depth, target)
+    own = sigs.where("d is not null").select("doc_id", "d").distinct()
+    sets = own.groupBy("d").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    sets = sets.join(group, "d", "left").join(links, "d", "left").withColumn("root", F.coalesce("root", "d"))
+    sets = ws.table(sets.join(sets.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("d", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    bare = sigs.where("d is null").select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
+    return own.join(sets, "d").select("doc_id", "class_id", "copies", "links").unionByName(bare)
 
 
 def drop_near_duplicates(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> DataFrame:
-    """``docs`` with one document of each connected group of the join: the one of the least doc_id (null last, then by text hash).
+    """``docs`` with one document of each connected group of the join: the one of the least doc_id (null last, then by a hash of the row).
 
-    All columns are kept as they are. Documents without a token stay. Of repeated rows (same doc_id and text) one stays, be they
-    in a group or not.
+    All columns are kept as they are, whatever their names. Documents without a token (null, empty) stay, of rows that are equal in
+    all columns (maps don't count) one. Very long texts are compared as wholes. An empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession, "ngram-dedup")
-    comp, rows = candidate_components(ws, docs, n, threshold, trees, depth, target)
+    sigs, _, group = similarity_groups(ws, docs, docs.columns, n, threshold, trees, depth, target)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g")
+    rows = sigs.groupBy("h", "g", "doc_id", "d").agg(F.count("*").alias("rows"))
+    rows = ws.table(rows.join(group, "d", "left").withColumn("root", F.coalesce("root", "d")), "rows")
+    ws.drop("signatures")
+    best = rows.where("root is not null").groupBy("root").agg(F.count("*").alias("of"), F.min(rank).alias("best")).where("of > 1")
+    judged = rows.join(best, "root", "left").select("h", "g", (F.col("best").isNull() | ((F.col("best.h") == F.col("h")) & (F.col("best.g") == F.col("g")))).alias("kept"), "rows")
+    judged = ws.table(judged, "judged")
+    return judged_rows(ws, docs, judged)
+
+
+def judged_rows(ws: Workspace, docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept. ``judged``: (h, g, kept, rows) of every row's identity over all columns.
+
+    Texts stay where they are: a chain of Bloom filters says exactly which rows go (one of the rows that go, one of those kept
+    that the first holds, one of those that go that the second holds, and so on, until none is left). If so many rows go that the
+    first would be too large to send (134 million), the ids are joined to the rows instead, with one shuffle. Of equal rows, those
+    of a task are one at once; the rest of them are brought together.
+    """
+    h, g, *places, repeated = free_names(docs, "h", "g", *(f"p{k}" for k in range(IdFilter.HASHES)), "repeated")
+    asked = docs.select("*", *(c.alias(k) for c, k in zip(row_id(docs, docs.columns), (h, g), strict=True)))
+    columns, twice = docs.columns, judged.where("kept and rows > 1").select("h", "g")
+    many = twice.count()
+    chain = _chain(ws, judged)
+    if chain is None:
+        gone = judged.where("not kept").select(F.col("h").alias(h), F.col("g").alias(g))
+        kept = asked.join(gone, [h, g], "left_anti")
+        return (kept.dropDuplicates([h, g]) if many else kept).select(*docs.columns)
+    filters = docs.sparkSession.sparkContext.broadcast((chain, IdFilter(twice, many) if many else None))
+    asked = asked.select("*", *(c.alias(k) for c, k in zip(IdFilter.places(F.col(h), F.col(g)), places, strict=True)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uids, ids, sets, of in _groups(batches):
-            parent = list(range(len(sets)))
-
-            def find(x: int, parent: list[int] = parent) -> int:
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            for i, others, _ in _overlaps(sets, threshold) if len(sets) > 1 else ():
-                for k in others:
-                    parent[find(k)] = find(i)
-            root = np.array([find(x) for x in range(len(sets))])[of]
-            order = np.lexsort((uids, ids, root))
-            later = order[1:][root[order][1:] == root[order][:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(uids[later])], ["uid"])
-
-    gone = ws.table(_members(docs, comp, rows, n).mapInArrow(run, "uid long"), "dropped")
-    ws.drop("components")
-    kept = docs.withColumn("__uid", _uid())
-    repeated = ws.table(kept.groupBy("__uid").agg(F.count("*").alias("n")).where("n > 1").select("__uid"), "repeated")
-    kept = kept.join(broadcast_if_small(gone.withColumnRenamed("uid", "__uid"), gone.count(), 16), "__uid", "left_anti")
-    if many := repeated.count():
-        twice = broadcast_if_small(repeated, many, 16)
-        kept = kept.join(twice, "__uid", "left_anti").unionByName(kept.join(twice, "__uid", "left_semi").dropDuplicates(["__uid"]))
-    return kept.select(*docs.columns)
+        chain, twice = filters.value
+        known: set[tuple[int, int]] = set()
+        for b in batches:
+            at = [b.column(p).to_numpy() for p in places]
+            gone, still = np.zeros(b.num_rows, bool), np.ones(b.num_rows, bool)
+            for k, f in enumerate(chain):
+                still &= f.holds(at)
+                gone[still] = k % 2 == 0
+            kept = ~gone
+            again = twice.holds(at) & kept if twice else np.zeros(b.num_rows, bool)
+            for i in np.flatnonzero(again):
+                x = (b.column(h)[int(i)].as_py(), b.column(g)[int(i)].as_py())
+                if x in known:
+                    kept[i] = False
+                elif len(known) < 1_000_000:
+                    known.add(x)
+            own = [*columns, h, g] if many else columns
+            out = [b.column(c) for c in own] + ([pa.array(again)] if many else [])
+            yield pa.RecordBatch.from_arrays(out, [*own, repeated][: len(out)]).filter(pa.array(kept))
+
+    if not many:
+        return asked.mapInArrow(run, docs.schema)
+    out = asked.mapInArrow(run, StructType([*docs.schema, StructField(h, LongType()), StructField(g, LongType()), StructField(repeated, BooleanType())]))
+    return out.where(~F.col(repeated)).select(*docs.columns).unionByName(out.where(F.col(repeated)).dropDuplicates([h, g]).select(*docs.columns))
+
+
+def _chain(ws: Workspace, judged: DataFrame) -> list[IdFilter] | None:
+    chain: list[IdFilter] = []
+    now, against = judged.where("not kept").select("h", "g"), judged.where("kept").select("h", "g")
+    while count := now.count():
+        if 4 * count > IdFilter.MOST_BITS:
+            return None
+        chain.append(IdFilter(now, count))
+        shared = judged.sparkSession.sparkContext.broadcast(chain[-1])
+
+        def held(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = shared.value.holds([b.column(f"p{k}").to_numpy() for k in range(IdFilter.HASHES)])
+                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("g")], ["h", "g"]).filter(pa.array(hit))
+
+        asked = against.select("h", "g", *(c.alias(f"p{k}") for k, c in enumerate(IdFilter.places(F.col("h"), F.col("g")))))
+        now, against = ws.table(asked.mapInArrow(held, "h long, g long"), f"held-{len(chain)}"), now
+        shared.unpersist()
+    return chain
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

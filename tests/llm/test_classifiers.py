@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import pytest
 
@@ -22,7 +24,7 @@ def labelled(spark):
 def test_kernel_is_the_blended_spectrum_kernel():
     texts = ["der hund und die katze", "the dog and the cat", "le chien et le chat", "el perro y el gato"]
     m = L.Model(texts, ["de", "en", "fr", "es"], 4, 0.01)
-    p = L.Presence()
+    p = L.Presence(m.alphabet)
 
     def grams(t):
         s = " " + t + " "
@@ -39,12 +41,123 @@ def test_kernel_is_the_blended_spectrum_kernel():
 def test_language_held_out(labelled):
     rows = [r for r in labelled if len(r.text) > 30]
     train, test = rows[::10][:300], rows[1::5]
-    m, p = L.Model([r.text for r in train], [r.lang for r in train], L.LANDMARKS, L.RIDGE), L.Presence()
+    m, p = L.Model([r.text for r in train], [r.lang for r in train], L.LANDMARKS, L.RIDGE), None
+    p = L.Presence(m.alphabet)
     got = [p.of(r.text, m.columns) for r in test]
     best = m.scores(np.stack([g[0] for g in got]), np.array([g[1] for g in got])).argmax(axis=1)
     assert np.mean([m.langs[b] == r.lang for b, r in zip(best, test)]) > 0.98
 
 
+def gram_set(text, alphabet):
+    """1- to 3-grams of letters with a gap at both ends of each run; a letter outside the alphabet is '?'."""
+    table = {chr(c) for c in alphabet}
+    s = "".join(x if (x := c.lower()[0]) in table else "?" if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text or "")
+    s = " " + " ".join(s.split()) + " " if s.split() else "  "
+    return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)} - {" ", "  "}
+
+
+def plain_language_model(rows, landmarks):
+    """Kernel by sets, Nystrom map by the pseudo-inverse root, ridge as an augmented least-squares system: (scores, shares) of a text."""
+    alphabet = sorted({ord(x) for t, _ in rows for c in t if c.isalpha() for x in c.lower()[0]})
+    langs = sorted({g for _, g in rows})
+    sets = [gram_set(t, alphabet) for t, _ in rows]
+    marks = []
+    for lang in langs:
+        own = [i for i, (_, g) in enumerate(rows) if g == lang and sets[i]]
+        marks += sorted(own, key=lambda i: (-len(sets[i]), rows[i][0]))[: max(1, landmarks // len(langs))]
+    k = lambda x, y: len(x & y) / np.sqrt(max(1, len(x)) * len(y))
+    mm = np.array([[k(sets[i], sets[j]) for j in marks] for i in marks])
+    e, v = np.linalg.eigh(mm)
+    root = v[:, e > 1e-6 * e.max()] / np.sqrt(e[e > 1e-6 * e.max()])
+    phi = lambda s: np.append(np.array([k(s, sets[j]) for j in marks]) @ root, 1.0)
+    x, y = np.stack([phi(s) for s in sets]), np.array([[1.0 if g == h else -1.0 for h in langs] for _, g in rows])
+    b = np.sqrt([1 / sum(g == h for _, h in rows) for _, g in rows])[:, None]
+    penalty = np.sqrt(L.RIDGE * len(langs)) * np.eye(x.shape[1])
+    penalty[-1, -1] = np.sqrt(1e-9)
+    w = np.linalg.lstsq(np.vstack([x * b, penalty]), np.vstack([y * b, np.zeros((x.shape[1], len(langs)))]), rcond=None)[0]
+    known = [set().union(*(sets[i] for i in marks if rows[i][1] == g)) for g in langs]
+
+    def judged(text):
+        s = gram_set(text, alphabet)
+        return (phi(s) @ w, np.array([len(s & q) / max(1, len(s)) for q in known]), len(s)) if s else (None, None, 0)
+
+    return langs, judged
+
+
+def test_language_against_brute_force(spark, data):
+    """Kernel, Nystrom features, ridge regression and decision, over all documents."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = L.training_rows(docs, 20)
+    langs, judged = plain_language_model(rows, 16)
+    out = L.identify(docs, L.train(docs, per_language=20, landmarks=16)).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        s, known, n = judged(r.text)
+        if not n:
+            assert (r.lang_pred, r.lang_ok) == ("und", False)
+            continue
+        best, lead = int(np.argmax(s)), float(np.diff(np.sort(s))[-1])
+        assert abs(r.lang_score - s[best]) < 2e-3 and abs(r.lang_margin - lead) < 4e-3
+        if lead > 4e-3:
+            assert r.lang_pred == langs[best] and abs(r.lang_known - known[best]) < 1e-5
+            if abs(lead - L.MARGIN) > 4e-3 and abs(known[best] - L.KNOWN) > 1e-5:
+                assert r.lang_ok == (lead >= L.MARGIN and known[best] >= L.KNOWN)
+
+
+SAYINGS = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность. Никто не должен содержаться в рабстве или в подневольном состоянии",
+    "uk": "Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства. Кожна людина має право на життя, на свободу і на особисту недоторканність. Ніхто не повинен бути в рабстві або у підневільному стані",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης. Κάθε άτομο έχει δικαίωμα στη ζωή, την ελευθερία και την προσωπική του ασφάλεια",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. لكل فرد الحق في الحياة والحرية وسلامة شخصه. لا يجوز استرقاق أو استعباد أي شخص ويحظر الاسترقاق وتجارة الرقيق بكافة أوضاعهما",
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。人人有资格享受本宣言所载的一切权利和自由。人人有权享有生命、自由和人身安全。任何人不得使为奴隶或奴役",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。すべて人は、生命、自由及び身体の安全に対する権利を有する",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए। प्रत्येक व्यक्ति को जीवन, स्वाधीनता और वैयक्तिक सुरक्षा का अधिकार है",
+}
+
+
+def test_scripts_and_strangers(spark):
+    """Languages of many scripts, two of them sharing one; languages outside the labels and random letters are not identified."""
+    import random
+
+    rows = []
+    for lang, t in SAYINGS.items():
+        step = max(1, len(t) // 12)
+        rows += [(t[i : i + 3 * step], lang) for i in range(0, len(t) - step, step)] * 2
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string")
+    m = L.train(docs)
+    assert L.Presence(m.alphabet).seen is None
+    r = random.Random(1)
+    mash = " ".join("".join(r.choice("абвгдежзийклмнопрстуфхцчшщыьэюя") for _ in range(9)) for _ in range(60))
+    asked = [(1, "Каждый имеет право на свободу"), (2, "Кожна людина має право"), (3, "και τα δικαιώματα"), (4, "في الحياة والحرية"), (5, "人人有权享有自由"), (6, "すべての人間は自由である"), (7, "प्रत्येक व्यक्ति को जीवन")]
+    strange = [(10, mash), (11, "All human beings are born free and equal in dignity"), (12, "모든 인간은 태어날 때부터 자유로우며"), (13, "ყველა ადამიანი იბადება თავისუფალი"), (14, "𝔘𝔫𝔦𝔠𝔬𝔡𝔢")]
+    out = {x.doc_id: x for x in L.identify(spark.createDataFrame(asked + strange, "doc_id long, text string"), m).collect()}
+    assert [out[i].lang_pred for i, _ in asked] == ["ru", "uk", "el", "ar", "zh", "ja", "hi"] and all(out[i].lang_ok for i, _ in asked)
+    assert not any(out[i].lang_ok for i, _ in strange)
+
+
+def test_strangers_to_the_tables(labelled):
+    """The given tables' languages: Italian, Polish and Finnish prose, base64 and typing at random are not identified, theirs is."""
+    rows = [r for r in labelled if len(r.text) > 30][::10][:600]
+    m = L.Model([r.text for r in rows], [r.lang for r in rows], L.LANDMARKS, L.RIDGE)
+    p = L.Presence(m.alphabet)
+    strange = [
+        "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.", "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saaani sanelemahan, sukuvirttä suoltamahan.",
+        "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Qgc3RyaW5nIHdpdGggYmFzZTY0IGVuY29kaW5n", "xkqj zvwb qpfh jjkd wlkjq zxcvq wpoirz qqkj vbnxm asdkjf qwpoei zmxnb", "Привет мир, как дела",
+    ]
+    share = lambda texts: [float(m.shares(row[None], np.array([n])).max()) for row, n in (p.of(t, m.columns) for t in texts)]
+    assert max(share(strange)) < L.KNOWN and np.mean(np.array(share([r.text for r in labelled if len(r.text) > 30])) >= L.KNOWN) > 0.999
+
+
+def test_equal_scores_have_no_lead(spark):
+    docs = spark.createDataFrame([(1, "abc abd", "x"), (2, "abc abd", "y")], "doc_id long, text string, lang string")
+    assert [(r.lang_pred, r.lang_ok) for r in L.identify(docs, L.train(docs)).collect()] == [("x", False)] * 2
+
+
+def test_many_texts_under_one_id_are_a_bounded_sample(spark):
+    docs = spark.range(400).selectExpr("1L as doc_id", "concat('text ', id) as text", "'en' as lang")
+    assert len(L.training_rows(docs, 30)) == 30
+
+
 def test_language_edges(spark, nasty, none):
     out = {(r.doc_id, r.text): r for r in L.identify(nasty, L.train(nasty)).collect()}
     assert out[5, None].lang_pred == out[4, ""].lang_pred == "und" and out[5, None].lang_ok is False and out[5, None].lang_score is None

@@ -14,12 +14,13 @@ def test_against_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     items = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     rows = [tuple(r) for r in docs.collect()]
-    model, p = L.train(docs), L.Presence()
+    model = L.train(docs)
+    p = L.Presence(model.alphabet)
 
     def identified(t):
         row, n = p.of(t, model.columns)
-        s = np.sort(model.scores(row[None], np.array([n]))[0])
-        return n > 0 and s[-1] >= L.LEAST - 1 and s[-1] - s[-2] >= L.MARGIN
+        s = model.scores(row[None], np.array([n]))[0]
+        return n > 0 and model.shares(row[None], np.array([n]))[0][s.argmax()] >= L.KNOWN and np.diff(np.sort(s))[-1] >= L.MARGIN
 
     rows = [r for r in rows if identified(r[1])]
     kept = groups([(r[0], r[1]) for r in rows])

@@ -2,8 +2,9 @@
 
 A hash function rotates the unit vector (three rounds of random signs and a fast Hadamard transform) and names the signed axis it
 lies closest to; a table joins ``functions`` of them. A vector is stored in its own bucket of each table and looks into that and
-the ``probes`` next likely ones. Buckets carry one byte a dimension, enough to pass over unrelated vectors; what is left is
-verified with the full vectors, which are shipped once per vector to its component.
+the ``probes`` next likely ones. Equal vectors are one from the start. Buckets carry one byte a dimension, enough to pass over unrelated
+vectors; a bucket's links are stars, so that many copies cost no more links than copies. Within a connected group of links all
+pairs are then decided with the full vectors, in blocks.
 """
 
 from __future__ import annotations
@@ -12,13 +13,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import Workspace, binary_rows, broadcast_if_small, connected_components, fixed_rows, key_runs, mix64
+from .common import Workspace, binary_rows, connected_components, fixed_rows, key_runs, mix64
+from .groups import bucket_links, classes, in_blocks, verified
 
 THRESHOLD, TABLES, FUNCTIONS, PROBES = 0.9, 8, 2, 3
 _MARGIN = 0.03  # what one byte a dimension may be wrong by
+_DIGEST = 16
+#: Numbers of a block of a large group, and of products made at once.
+BLOCK_NUMBERS, PRODUCTS = 4_000_000, 4_000_000
 
 
 def fast_hadamard(x: np.ndarray) -> np.ndarray:
@@ -75,109 +82,129 @@ def bucket_keys(unit: np.ndarray, tables: int, functions: int, probes: int) -> n
 
 
 def vectors(table: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(id, v): unit vectors as binary float32, of rows with an id and a finite vector that isn't zero."""
+    """(id, d, v): unit vectors as binary float32 and their 128-bit digests, of rows with an id; null without a finite vector that isn't zero."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("v"), strict=True):
-                if i is None or not v.is_valid or not len(v):
-                    continue
-                x = np.array(v.values.to_numpy(zero_copy_only=False), np.float64)
-                size = np.sqrt((x * x).sum())
-                if np.isfinite(size) and size > 0:
-                    ids.append(i)
-                    out.append((x / size).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "v"])
-
-    return table.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v")).mapInArrow(run, "id long, v binary")
+            out: list[bytes | None] = [None] * batch.num_rows
+            size = np.array([len(v) if v.is_valid else 0 for v in batch.column("v")], np.int64)
+            for width in np.unique(size[size > 0]):
+                rows = np.flatnonzero(size == width)
+                x = batch.column("v").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                with np.errstate(all="ignore"):
+                    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares don't overflow
+                    x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+                for i in np.flatnonzero(np.isfinite(x).all(axis=1)):
+                    out[rows[i]] = (x[i] + np.float32(0)).tobytes()  # no negative zeros
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v and xxhash.xxh3_128_digest(v) for v in out], pa.binary()), pa.array(out, pa.binary())], ["id", "d", "v"])
+
+    own = table.select(F.col(id_column).alias("id"), F.col(column).alias("v")).where("id is not null")
+    return own.mapInArrow(run, StructType([own.schema["id"], StructField("d", BinaryType()), StructField("v", BinaryType())]))
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], tables: int, functions: int, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, digests, unit vectors) of some vectors of one dimension; vectors of another dimension never meet them."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            raw, d = batch.column("v").to_pylist(), batch.column("d").to_pylist()
+            for width in sorted({len(r) for r in raw}):
+                rows = [i for i, r in enumerate(raw) if len(r) == width]
+                unit = np.frombuffer(b"".join(raw[i] for i in rows), np.float32).reshape(len(rows), -1)
+                keys = bucket_keys(unit, tables, functions, probes) ^ mix64(np.array([width], np.uint64))
+                yield keys, np.frombuffer(b"".join(d[i] for i in rows), np.uint8).reshape(len(rows), -1), unit
 
 
 def _stored(vecs: DataFrame, tables: int, functions: int, probes: int) -> DataFrame:
-    """(key, id, own, code): own marks the bucket the vector is stored in."""
+    """(key, d, own, code): own marks the bucket the vector is stored in."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, d, unit in _chunks(batches, tables, functions, probes):
+            code = np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 127).astype(np.int8)
+            per = keys.shape[1] * keys.shape[2]
+            own = np.zeros(keys.shape, bool)
+            own[:, :, 0] = True
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), binary_rows(np.repeat(d, per, axis=0)), pa.array(own.reshape(-1)), binary_rows(np.repeat(code, per, axis=0))], ["key", "d", "own", "code"])
 
+    return vecs.mapInArrow(run, "key long, d binary, own boolean, code binary")
+
+
+def _bucket_keys(vecs: DataFrame, tables: int, functions: int, probes: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                raw = batch.column("v").to_pylist()
-                for width in {len(r) for r in raw}:  # vectors of another dimension never meet
-                    rows = [i for i, r in enumerate(raw) if len(r) == width]
-                    unit = np.frombuffer(b"".join(raw[i] for i in rows), np.float32).reshape(len(rows), -1)
-                    keys = bucket_keys(unit, tables, functions, probes) ^ mix64(np.array([width], np.uint64))
-                    top = np.abs(unit).max(axis=1, keepdims=True)
-                    code = np.rint(unit / top * 127).astype(np.int8)
-                    per = keys.shape[1] * keys.shape[2]
-                    own = np.zeros(keys.shape, bool)
-                    own[:, :, 0] = True
-                    ids = batch.column("id").to_numpy()[rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, per)), pa.array(own.reshape(-1)), binary_rows(np.repeat(code, per, axis=0))],
-                        ["key", "id", "own", "code"],
-                    )
-
-    return vecs.mapInArrow(run, "key long, id long, own boolean, code binary")
-
-
-def _links(stored: DataFrame, least: float) -> DataFrame:
+        for keys, _, _ in _chunks(batches, tables, functions, probes):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64))], ["key"])
+
+    return vecs.mapInArrow(run, "key long")
+
+
+def _joined(x: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """Label (the first row) of each row's component; links are those between a row and a stored one. Rows are taken in blocks."""
+    label, mine = np.arange(len(x)), np.flatnonzero(own)
+    step = max(1, PRODUCTS // max(1, len(mine)))
+    for i in range(0, len(x), step):
+        hit = x[i : i + step] @ x[mine].T >= least
+        for k in np.flatnonzero(hit.any(axis=1)):
+            together = np.unique(label[np.append(mine[hit[k]], i + k)])
+            if len(together) > 1:
+                label[np.isin(label, together)] = together[0]
+    return label
+
+
+def _meetings(rows: DataFrame, least: float) -> DataFrame:
+    dealt = "lead" in rows.columns
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, runs in key_runs(batches, "key"):
-            ids, own = t.column("id").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
-            code = t.column("code")
-            a, b = [], []
+            d, own = fixed_rows(t.column("d"), np.uint8, _DIGEST), t.column("own").to_numpy()
+            lead, code = t.column("lead").to_numpy() if dealt else None, t.column("code")
+            a, b, strays = [], [], []
             for lo, hi in zip(runs[:-1], runs[1:], strict=True):
-                if hi - lo < 2 or not own[lo:hi].any():
+                if hi - lo < 2 or not (dealt or own[lo:hi].any()):
                     continue
                 x = np.frombuffer(b"".join(code.slice(lo, hi - lo).to_pylist()), np.int8).reshape(hi - lo, -1).astype(np.float32)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                mine = np.flatnonzero(own[lo:hi])
-                for i in range(0, len(x), 1024):
-                    p, q = np.nonzero(x[i : i + 1024] @ x[mine].T >= least)
-                    a.append(ids[lo + i + p]), b.append(ids[lo + mine[q]])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                keep = a != b
-                pair = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+                label = _joined(x, own[lo:hi], least)
+                linked = np.flatnonzero(label != np.arange(hi - lo))
+                a.append(lo + label[linked]), b.append(lo + linked)
+                if dealt:
+                    strays.append(lo + np.flatnonzero(label != label[np.argmax(lead[lo:hi])]))
+            a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
+            yield pa.RecordBatch.from_arrays([binary_rows(d[a]), binary_rows(d[b])], ["a", "b"])
+            if strays and len(s := np.concatenate(strays)):
+                yield pa.RecordBatch.from_arrays([binary_rows(d[s]), pa.nulls(len(s), pa.binary())], ["a", "b"])
 
-    return stored.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(table: DataFrame, *, id_column: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, functions: int = FUNCTIONS, probes: int = PROBES) -> DataFrame:
-    """Pairs (vec_id_a < vec_id_b, cosine) of vectors whose cosine is at least ``threshold``.
+    """A row per vector: its id, class_id, copies, links.
 
-    Every row is a query. Rows without an id, and null, empty, zero and non-finite vectors (null elements included) are in no pair;
-    vectors of different dimensions are not compared; repeated rows count once, and of an id with several vectors the best
-    cosine is given; other columns are ignored. An empty table gives no rows.
+    Two vectors are linked if their cosine is at least ``threshold``. ``class_id`` is the least id of the connected group (the vector's own
+    if it is linked with none); ``copies`` counts the rows of the very same direction, itself included; ``links`` the other directions
+    that are linked with its own. Every row is a query.
+
+    Rows without an id have no row; a null, empty, zero or non-finite vector (null elements included) is alone, with 1 copy and no link.
+    Vectors of different dimensions are not compared. Repeated rows count once; an id with several vectors has a row for each
+    different one. Ids may be of any type that has an order. Other columns are ignored. An empty table gives no rows.
     """
     ws = Workspace(table.sparkSession, "embedding-dedup")
-    vecs = ws.table(vectors(table, id_column, column), "vectors")
-    edges = ws.table(_links(_stored(vecs, tables, functions, probes), threshold - _MARGIN), "links")
-    comp = ws.table(connected_components(ws, edges), "components")
-    ws.drop("links")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, runs in key_runs(batches, "component"):
-            ids, raw = t.column("node").to_numpy(), t.column("v")
-            for lo, hi in zip(runs[:-1], runs[1:], strict=True):
-                own = np.array(raw.slice(lo, hi - lo).to_pylist(), object)
-                for width in sorted({len(r) for r in own}):
-                    rows = np.flatnonzero([len(r) == width for r in own])
-                    x = np.frombuffer(b"".join(own[rows]), np.float32).reshape(len(rows), -1)
-                    n = ids[lo:hi][rows]
-                    for i in range(0, len(x), 512):
-                        s = x[i : i + 512] @ x[i:].T
-                        p, q = np.nonzero(s >= threshold)
-                        later = (q > p) & (n[i + p] != n[i + q])
-                        p, q = p[later], q[later]
-                        a, b = n[i + p], n[i + q]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(1.0, s[p, q].astype(float)))], ["a", "b", "cosine"])
-
-    members = vecs.withColumnRenamed("id", "node").join(broadcast_if_small(comp, comp.count(), 32), "node").distinct()
-    pairs = members.select("component", "node", "v").repartition("component").sortWithinPartitions("component", "node").mapInArrow(run, "a long, b long, cosine double")
-    if vecs.groupBy("id").agg(F.count_distinct("v").alias("n")).where("n > 1").head(1):
-        pairs = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    return pairs.select(F.col("a").alias(f"{id_column}_a"), F.col("b").alias(f"{id_column}_b"), "cosine")
+    all_ = ws.table(vectors(table, id_column, column), "vectors")
+    vecs = ws.table(all_.where("d is not null").select("d", "v").distinct(), "distinct")
+    how = (tables, functions, probes)
+    met = bucket_links(ws, _stored(vecs, *how), _bucket_keys(vecs, *how), lambda rows: _meetings(rows, threshold - _MARGIN), F.col("own"))
+    comp = connected_components(ws, met)
+    members = comp.withColumnRenamed("node", "d").join(vecs.withColumnRenamed("v", "payload"), "d")
+    held = in_blocks(ws, members, F.length("payload") / 4, BLOCK_NUMBERS)
+
+    def similar(units: list[bytes]) -> np.ndarray:
+        x = np.frombuffer(b"".join(units), np.float32).reshape(len(units), -1)
+        hit = x @ x.T >= threshold
+        np.fill_diagonal(hit, False)
+        return hit
+
+    links, group = verified(ws, held, similar)
+    ids = all_.select("id", "d").distinct()
+    return classes(ws, ids.where("d is not null"), ids.where("d is null"), links, group).withColumnRenamed("id", id_column)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

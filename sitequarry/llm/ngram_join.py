@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import IdFilter, TokenHash, Workspace, binary_rows, broadcast_if_small, connected_components, fixed_rows, free_names, key_runs, mix64, row_id, shingles, words
+from .common import IdFilter, TokenHash, Workspace, binary_rows, connected_components, fixed_rows, free_names, key_runs, mix64, row_id, shingles, words
+from .groups import bucket_links, classes, in_blocks, verified
 
 N, THRESHOLD, TREES, DEPTH, SKETCH, TARGET = 3, 0.5, 24, 4, 48, 0.95
-#: Rows of a bucket of the forest that one task may hold; sets and n-grams of a block of a large group.
-BUCKET, BLOCK_SETS, BLOCK_GRAMS = 50_000, 2048, 2_000_000
+#: N-grams of a block of a large group.
+BLOCK_GRAMS = 2_000_000
 _MARGIN = 3.0  # standard deviations below the threshold that a sketch may say before a pair is passed over
 _DIGEST = 16
 
@@ -198,32 +199,6 @@ def _meetings(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(run, "a binary, b binary")
 
 
-def _links(ws: Workspace, sets: DataFrame, least: float, trees: int, depth: int, length: int) -> DataFrame:
-    """Links of all buckets. A bucket of more than ``BUCKET`` sets is dealt over tasks, each of which gets the bucket's leader too:
-    sets connected with the leader anywhere are connected; the others go to every task of the bucket in a second turn."""
-    rows = _rows(sets, trees, depth, length)
-    hot = ws.table(_bucket_keys(sets, trees, depth, length).groupBy("key").count().where(F.col("count") > BUCKET), "hot")
-    many = hot.count()
-    if not many:
-        return ws.table(_meetings(rows, least), "met")
-    own = rows.join(broadcast_if_small(hot, many, 32), "key")
-    dealt = own.withColumn("parts", F.ceil(F.col("count") / BUCKET).cast("int")).withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")))
-    leaders = own.groupBy("key").agg(F.min("d").alias("d")).withColumn("lead", F.lit(True))
-    home = ws.table(dealt.join(leaders, ["key", "d"], "left").withColumn("lead", F.coalesce("lead", F.lit(False))), "dealt")
-    cell = F.xxhash64("key", "part").alias("key")
-
-    def everywhere(some: DataFrame) -> DataFrame:
-        return some.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    first = home.where("not lead").unionByName(everywhere(home.where("lead")))
-    first = ws.table(_meetings(first.select(cell, "rest", "d", "sketch", "lead"), least), "met-hot")
-    strays = home.join(first.where("b is null").select(F.col("a").alias("d")).distinct(), "d", "left_semi")  # a stray of one bucket is asked for in all
-    strays = ws.table(everywhere(strays), "strays")
-    again = home.select(cell, "rest", "d", "sketch").unionByName(strays.select(cell, "rest", "d", "sketch"))
-    met = _meetings(rows.join(broadcast_if_small(hot, many, 32), "key", "left_anti"), least).unionByName(first.where("b is not null"))
-    return ws.table(met.unionByName(_meetings(again, least)) if strays.head(1) else met, "met")
-
-
 def _shared(sets: list[np.ndarray], most: int = 4096) -> np.ndarray:
     """Sizes of all intersections. N-grams of many sets are counted by a product of presence matrices, those of few by their pairs."""
     m, sizes = len(sets), np.array([len(s) for s in sets])
@@ -249,8 +224,8 @@ def _shared(sets: list[np.ndarray], most: int = 4096) -> np.ndarray:
     return out
 
 
-def similar_pairs(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> np.ndarray:
-    """Which sets have a Jaccard of at least ``threshold``, as a matrix (nothing is similar to itself); of ``side``, only pairs across."""
+def similar_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets have a Jaccard of at least ``threshold``, as a matrix (nothing is similar to itself)."""
     sizes = np.array([len(s) for s in sets])
     if len(sets) == 2:
         x = len(np.intersect1d(*sets, assume_unique=True))
@@ -259,17 +234,7 @@ def similar_pairs(sets: list[np.ndarray], threshold: float, side: np.ndarray | N
         x = _shared(sets)
         hit = x / (sizes[:, None] + sizes[None] - x) >= threshold
         np.fill_diagonal(hit, False)
-    return hit if side is None else hit & (side[:, None] != side[None])
-
-
-def _roots(hit: np.ndarray) -> np.ndarray:
-    """The first row of each row's component."""
-    label = np.arange(len(hit))
-    for i in range(len(hit)):
-        own = np.unique(label[np.append(np.flatnonzero(hit[i, i:]) + i, i)])
-        if len(own) > 1:
-            label[np.isin(label, own)] = own[0]
-    return label
+    return hit
 
 
 def _verified(ws: Workspace, docs: DataFrame, sets: DataFrame, comp: DataFrame, identity: list[str], n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -278,8 +243,7 @@ def _verified(ws: Workspace, docs: DataFrame, sets: DataFrame, comp: DataFrame,
     N-gram sets are made again from one document of each set, found by a Bloom filter of their ids while the texts are read.
     """
     own = ws.table(comp.withColumnRenamed("node", "d").join(sets.select("d", "n", "h", "g"), "d"), "members")
-    size = own.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    own = ws.table(own.join(size, "component").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")), "blocks")
+    own = in_blocks(ws, own, F.col("n"), BLOCK_GRAMS)
     shared = docs.sparkSession.sparkContext.broadcast(IdFilter(own.select("h", "g"), own.count()))
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,38 +263,12 @@ def _verified(ws: Workspace, docs: DataFrame, sets: DataFrame, comp: DataFrame,
                     known.clear()
                 hasher.trim()
                 batch = batch.take(pa.array(fresh, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), pa.array([np.unique(shingles(hasher.of(words(t.as_py())), n)).tobytes() for t in batch.column("text")], pa.binary())], ["h", "g", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), pa.array([np.unique(shingles(hasher.of(words(t.as_py())), n)).tobytes() for t in batch.column("text")], pa.binary())], ["h", "g", "payload"])
 
     texts = docs.select(*(c.alias(k) for c, k in zip(row_id(docs, identity), "hg", strict=True)), "text")
     texts = texts.select("h", "g", *(c.alias(f"p{k}") for k, c in enumerate(IdFilter.places(F.col("h"), F.col("g")))), "text")
-    held = own.join(texts.mapInArrow(grams, "h long, g long, grams binary"), ["h", "g"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = held.select("d", "grams", "component", "block", "blocks", other).select(
-        F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "d", "grams",
-        F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"), (F.col("blocks") == 1).alias("alone"),
-    )
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, runs in key_runs(batches, "key"):
-            d, grams, side = t.column("d").to_pylist(), t.column("grams"), t.column("side").to_numpy()
-            alone = t.column("alone").to_pylist()
-            node, root, links, whole = [], [], [], []
-            for lo, hi in zip(runs[:-1], runs[1:], strict=True):
-                at = [i for i in range(lo, hi) if i == lo or d[i] != d[i - 1]]
-                if len(at) < 2:
-                    continue
-                hit = similar_pairs([np.frombuffer(grams[i].as_py(), np.uint64) for i in at], threshold, None if side[lo] < 0 else side[at])
-                count, first = hit.sum(axis=1), _roots(hit)
-                for i in np.flatnonzero(count):
-                    node.append(d[at[i]]), root.append(d[at[first[i]]]), links.append(int(count[i])), whole.append(alone[lo])
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(root, pa.binary()), pa.array(links, pa.int64()), pa.array(whole, pa.bool_())], ["d", "root", "links", "whole"])
-
-    found = ws.table(cells.repartition("key").sortWithinPartitions("key", "d").mapInArrow(run, "d binary, root binary, links long, whole boolean"), "verified")
-    parts = found.where("not whole")
-    group = found.where("whole").select("d", "root")
-    if parts.head(1):
-        group = group.unionByName(connected_components(ws, parts.select(F.col("d").alias("a"), F.col("root").alias("b")), "groups").select(F.col("node").alias("d"), F.col("component").alias("root")))
-    return found.groupBy("d").agg(F.sum("links").alias("links")), group
+    held = own.join(texts.mapInArrow(grams, "h long, g long, payload binary"), ["h", "g"])
+    return verified(ws, held, lambda grams: similar_pairs([np.frombuffer(g, np.uint64) for g in grams], threshold))
 
 
 def similarity_groups(ws: Workspace, docs: DataFrame, identity: list[str], n: int, threshold: float, trees: int, depth: int, target: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -338,7 +276,8 @@ def similarity_groups(ws: Workspace, docs: DataFrame, identity: list[str], n: in
     sigs = ws.table(signatures(docs, identity, n, trees, depth), "signatures")
     sets = ws.table(sigs.where("labels is not null").select("d", "n", "h", "g", "labels", "sketch").dropDuplicates(["d"]), "sets")
     least = threshold - _MARGIN * (threshold * (1 - threshold) / SKETCH) ** 0.5
-    met = _links(ws, sets, least, trees, depth, least_length(threshold, trees, depth, target))
+    how = (trees, depth, least_length(threshold, trees, depth, target))
+    met = bucket_links(ws, _rows(sets, *how), _bucket_keys(sets, *how), lambda rows: _meetings(rows, least))
     comp = ws.table(connected_components(ws, met), "components")
     ws.drop("met")
     return sigs, *_verified(ws, docs, sets, comp, identity, n, threshold)
@@ -359,12 +298,8 @@ def ngram_jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESH
     ws = Workspace(docs.sparkSession, "ngram-join")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     sigs, links, group = similarity_groups(ws, docs, ["doc_id", "text"], n, threshold, trees, depth, target)
-    own = sigs.where("d is not null").select("doc_id", "d").distinct()
-    sets = own.groupBy("d").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    sets = sets.join(group, "d", "left").join(links, "d", "left").withColumn("root", F.coalesce("root", "d"))
-    sets = ws.table(sets.join(sets.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("d", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    bare = sigs.where("d is null").select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
-    return own.join(sets, "d").select("doc_id", "class_id", "copies", "links").unionByName(bare)
+    ids = sigs.select(F.col("doc_id").alias("id"), "d").distinct()
+    return classes(ws, ids.where("d is not null"), ids.where("d is null"), links, group).withColumnRenamed("id", "doc_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> DataFrame:

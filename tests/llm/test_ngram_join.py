@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 
+from sitequarry.llm import groups as G
 from sitequarry.llm import ngram_join as J
 
 
@@ -126,11 +127,11 @@ def near_copies(many, seed=1):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"BUCKET": 16, "BLOCK_SETS": 32}, {"BLOCK_GRAMS": 500}])
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 16, "BLOCK_MEMBERS": 32}, {"BLOCK_GRAMS": 500}])
 def test_large_groups_are_dealt_over_tasks(spark, monkeypatch, limits):
     """Hot buckets and blocks of a large group give what one task gives."""
     for k, v in limits.items():
-        monkeypatch.setattr(J, k, v)
+        monkeypatch.setattr(J if hasattr(J, k) else G, k, v)
     rows = near_copies(150) + [(1000 + k, " ".join(f"c{k + j}" for j in range(40))) for k in range(0, 300, 6)]  # and a long chain
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == classes(rows)
 

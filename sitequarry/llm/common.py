@@ -16,7 +16,9 @@ from pyspark.sql.types import MapType
 from ..operators.graph import connected_components
 from ..storage import BROADCAST_BYTES, Workspace, broadcast_if_small, shared_dir
 
-_WORD = re.compile(r"\w+")
+#: Scripts that are written without spaces between words: Thai to Lao, Myanmar, Khmer, kana, ideographs.
+_CLOSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_CLOSE}]+|(?!\W)[{_CLOSE}]")
 
 __all__ = [
     "BROADCAST_BYTES", "IdFilter", "TokenHash", "Workspace", "binary_rows", "broadcast_if_small", "connected_components", "fixed_rows", "free_names", "key_runs", "lower", "mix64", "rolling", "row_id", "shared_dir", "shingles",
@@ -73,7 +75,7 @@ def lower(text: str) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-case runs of letters, digits and underscores; a null text has none."""
+    """Lower-case runs of letters, digits and underscores, of scripts without spaces single ones; a null text has none."""
     return _WORD.findall(lower(text)) if text else []
 
 

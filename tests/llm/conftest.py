@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import pytest
 
 SCHEMA = (
@@ -7,6 +10,26 @@ SCHEMA = (
 LONG = " ".join(f"word{i % 997}" for i in range(60_000))
 
 
+def word_spans(text):
+    """(start, end, token) character by character: runs of word characters, but single ones in scripts without spaces."""
+    out, run = [], None
+    for i, c in enumerate(text + " "):
+        word = re.match(r"\w", c)
+        alone = word and unicodedata.name(c, "").startswith(("CJK", "HIRAGANA", "KATAKANA", "THAI", "LAO", "MYANMAR", "KHMER"))
+        if run is not None and (not word or alone):
+            out.append((run, i, text[run:i].lower()))
+            run = None
+        if alone:
+            out.append((i, i + 1, c.lower()))
+        elif word and run is None:
+            run = i
+    return out
+
+
+def tokens(text):
+    return [t for _, _, t in word_spans(text or "")]
+
+
 def documents():
     """Nulls everywhere, empty, blank, very long and repeated texts, repeated rows, ids with two texts, clashing columns."""
     extra = ("x",) * 2

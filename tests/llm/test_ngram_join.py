@@ -1,4 +1,3 @@
-import re
 from collections import Counter
 from itertools import combinations
 
@@ -7,9 +6,11 @@ import pytest
 from sitequarry.llm import groups as G
 from sitequarry.llm import ngram_join as J
 
+from .conftest import tokens
+
 
 def grams(text, n=J.N):
-    w = re.findall(r"\w+", (text or "").lower())
+    w = tokens(text)
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterable, Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -15,29 +17,12 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 BITS, ORDERS, RIDGE, ROUNDS, THRESHOLD, TRAIN = 16, (3, 4, 5), 1e-4, 500, 0.7, 20_000
 _PARTS = re.compile(r"^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)", re.IGNORECASE)
 
-_BAD = (
-    "casino-win casino slots-jackpot poker-room free-bets bets-online betting sportsbook roulette adult-x adult-video porn-tube xxx-cams sex-chat escort nude-pics "
-    "spam-farm link-farm seo-spam content-farm doorway-pages clickbait ads-track ad-server adserver track-click clicktrack pixel-track popunder banner-ads affiliate-ads "
-    "cheap-pills viagra-shop replica-watches payday-loan crypto-giveaway free-iphone win-prize get-rich malware-drop phish-login warez-crack keygen torrent-leech"
-).split()
-_GOOD = (
-    "news daily-times city-herald blog journal gardening recipes kitchen travel-notes weather climate history museum library archive university school science physics biology "
-    "chemistry math-notes poetry novels reviews cinema music orchestra theatre gallery photography football cycling hiking running-club health clinic hospital parliament council "
-    "gov-data statistics maps transport railway airport law-review court economy market-report bank-info energy engineering robotics software docs manual forum community wiki "
-    "dictionary language-lab thinking northern weathers brothers national traditions whether another healthy nation motion thoughts shelter tiny"
-).split()
-
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small table that comes with the library: (url, label), label 1 for URLs to leave out."""
-    hosts, paths = ("{}.example.com", "www.{}.example.org", "blog.{}.example.net", "m.{}.example.com"), ("/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}")
-    rows = []
-    for label, names in ((1, _BAD), (0, _GOOD)):
-        for i, name in enumerate(names):
-            for k, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-                rows.append((f"https://{host.format(name)}{path.format(17 * i + 1009 * k)}", label))
-            rows.append((f"http://site.example.org/{name}/page", label))
-    return spark.createDataFrame(rows, "url string, label int")
+    """The small table that comes with the library: (url, label), label 1 for URLs to leave out (gambling, adult, spam, fraud, malware,
+    advertising, piracy), 0 for others of many kinds and languages. Written by hand, one URL a host."""
+    with resources.files(__package__).joinpath("url_labels.csv").open(encoding="utf-8", newline="") as f:
+        return spark.createDataFrame([(r["url"], int(r["label"])) for r in csv.DictReader(f)], "url string, label int")
 
 
 def features(url: str, bits: int = BITS) -> np.ndarray:

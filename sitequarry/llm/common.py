@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
@@ -21,7 +21,7 @@ _CLOSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u340
 _WORD = re.compile(rf"[^\W{_CLOSE}]+|(?!\W)[{_CLOSE}]")
 
 __all__ = [
-    "BROADCAST_BYTES", "IdFilter", "TokenHash", "Workspace", "binary_rows", "broadcast_if_small", "connected_components", "fixed_rows", "free_names", "key_runs", "lower", "mix64", "rolling", "row_id", "shared_dir", "shingles",
+    "BROADCAST_BYTES", "IdFilter", "TokenHash", "Workspace", "binary_rows", "broadcast_if_small", "connected_components", "fixed_rows", "free_names", "key_runs", "labelled_sample", "lower", "mix64", "rolling", "row_id", "shared_dir", "shingles",
     "word_spans", "words",
 ]
 
@@ -172,3 +172,23 @@ class IdFilter:
             p = p & np.int64(self.bits - 1)
             found &= (self.words[p >> 6] >> (p & 63)) & 1 > 0
         return found
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> list[tuple[str, int]]:
+    """(text, label) of at most ``rows`` different labelled texts of each label, in a fixed order. ``labels``: doc_id, y, one row an id.
+
+    At most ``rows`` ids of each label are drawn by hash before anything is joined, and as many texts of theirs by their 128-bit
+    identities, so that many texts under one id are no more than one text each under many.
+    """
+
+    def first(table: DataFrame, *by: str | Column) -> DataFrame:
+        return table.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(*by))).where(F.col("r") <= rows).drop("r")
+
+    drawn = first(labels.where("doc_id is not null and y is not null"), F.xxhash64("doc_id", F.lit(11)), "doc_id")
+    classes = labels.select("y").where("y is not null").distinct().count()
+    drawn = broadcast_if_small(drawn, rows * classes, 32)
+    own = docs.select("doc_id", "text").where("text is not null").join(drawn, "doc_id")
+    own = own.select("text", "y", *(c.alias(k) for c, k in zip(row_id(own, ["doc_id", "text"]), "hg", strict=True)))
+    few = first(own.select("y", "h", "g").distinct(), "h", "g").select("h", "g")
+    got = own.join(broadcast_if_small(few, rows * classes, 32), ["h", "g"]).groupBy("h", "g").agg(F.first("text").alias("text"), F.first("y").alias("y"))
+    return [(r.text, r.y) for r in got.orderBy("h", "g").collect()]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import TokenHash, broadcast_if_small, mix64
+from .common import TokenHash, labelled_sample, mix64
 
 TRAIN, BITS, SMOOTH, COST, EPOCHS, BETA, THRESHOLD = 4000, 18, 1.0, 4.0, 30, 0.25, 0.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -42,6 +42,27 @@ def features(texts: list[str | None], hasher: TokenHash, bits: int = BITS) -> tu
     return both >> bits, both & ((1 << bits) - 1)
 
 
+def descend(xs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, width: int, epochs: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """(w, b, alpha) of the least 1/2 (|w|^2 + b^2) + sum(cost * hinge), by dual coordinate descent. ``xs``: places and values of each row."""
+    w, b, alpha = np.zeros(width), 0.0, np.zeros(len(xs))
+    square = np.array([1.0 + float(v @ v) for _, v in xs])
+    rng = np.random.default_rng(7)
+    for _ in range(epochs):
+        worst = 0.0
+        for i in rng.permutation(len(xs)):
+            f, v = xs[i]
+            g = y[i] * (float(w[f] @ v) + b) - 1
+            new = min(max(alpha[i] - g / square[i], 0.0), cost[i])
+            if (d := (new - alpha[i]) * y[i]) != 0.0:
+                w[f] += d * v
+                b += d
+                worst = max(worst, abs(d) * square[i] ** 0.5)
+                alpha[i] = new
+        if worst < 1e-3:
+            break
+    return w, b, alpha
+
+
 class Model:
     def __init__(self, texts: list[str], labels: list[int], *, bits: int = BITS, smooth: float = SMOOTH, cost: float = COST, epochs: int = EPOCHS, beta: float = BETA):
         self.bits = bits
@@ -51,27 +72,12 @@ class Model:
         seen = np.bincount(feat, minlength=1 << bits) > 0
         r = np.where(seen, np.log((p / p[seen].sum()) / (q / q[seen].sum())), 0.0) if len(feat) else np.zeros(1 << bits)
         starts = np.searchsorted(row, np.arange(len(texts) + 1))
-        w, b, alpha = np.zeros(1 << bits), 0.0, np.zeros(len(texts))
         balance = cost * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
         xs = []
         for i in range(len(texts)):
             f = feat[starts[i] : starts[i + 1]]
             xs.append((f, r[f] / np.sqrt(max(1, len(f)))))
-        square = np.array([1.0 + float(v @ v) for _, v in xs])
-        rng = np.random.default_rng(7)
-        for _ in range(epochs):
-            worst = 0.0
-            for i in rng.permutation(len(texts)):
-                f, v = xs[i]
-                g = y[i] * (float(w[f] @ v) + b) - 1
-                new = min(max(alpha[i] - g / square[i], 0.0), balance[i])
-                if (d := (new - alpha[i]) * y[i]) != 0.0:
-                    w[f] += d * v
-                    b += d
-                    worst = max(worst, abs(d) * square[i] ** 0.5)
-                    alpha[i] = new
-            if worst < 1e-3:
-                break
+        w, b, _ = descend(xs, y, balance, 1 << bits, epochs)
         w = beta * np.where(seen, np.abs(w[seen]).mean() if seen.any() else 0.0, 0.0) + (1 - beta) * w  # between naive Bayes and the margin
         self.weights, self.bias = (w * r).astype(np.float32), b * (1 - beta)
 
@@ -82,24 +88,21 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, column: str = "quality", rows: int = TRAIN) -> Model | None:
-    """Fits on at most ``rows`` labelled documents, drawn by hash of doc_id; None unless there are both classes.
+    """Fits on at most ``rows`` labelled texts, half of each class at most, drawn by hash; None unless there are both classes.
 
     Of a doc_id with several labels the largest counts; null ids, labels and texts don't.
     """
-    own = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("__y"))
-    drawn = own.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").where("text is not null").join(broadcast_if_small(drawn, rows, 24), "doc_id").collect()
-    data = sorted({(r.doc_id, r.text, r["__y"]) for r in got})
-    if len({y > 0 for _, _, y in data}) < 2:
-        return None
-    return Model([t for _, t, _ in data], [y for _, _, y in data])
+    own = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg((F.max(column) > 0).cast("int").alias("y"))
+    data = labelled_sample(docs, own, rows // 2)
+    return Model([t for t, _ in data], [y for _, y in data]) if len({y for _, y in data}) == 2 else None
 
 
 def classify(docs: DataFrame, model: Model | None, *, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with quality_score (double) and quality_ok (score >= threshold), replacing columns of these names.
 
     A null text, or a missing model, has a null score and is not ok; a text without tokens has the model's bias. Whole texts count.
-    Other columns and the rows' multiplicity stay; an empty table gives no rows.
+    A score of exactly the threshold is ok; equal texts have equal scores. Very long texts are read as wholes. Other columns, whatever
+    their names, and the rows' multiplicity stay; an empty table gives no rows.
     """
     names = ["quality_score", "quality_ok"]
     docs = docs.drop(*names)

@@ -12,11 +12,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import TokenHash, broadcast_if_small, mix64, words
+from .common import TokenHash, labelled_sample, mix64, words
 
 TRAIN, WIDTH, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 3000, 32, 16, 8, 8, 16, 8
 WORD_BITS, CHAR_BITS, ORDERS, ROUNDS, STEPS, RATE, THRESHOLD = 12, 13, (3, 4), 4, 300, 0.01, 0.9
@@ -42,12 +42,17 @@ def char_grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return g[order], np.cumsum(np.bincount(o, minlength=len(tokens)))
 
 
-def windows(count: int) -> np.ndarray:
-    """First words of the windows over a text of so many words: half overlapping, the last one ending with the text."""
-    if count <= WIDTH:
+def windows(count: int, width: int = WIDTH, stride: int = STRIDE) -> np.ndarray:
+    """First words of the windows over a text of so many words: one every ``stride`` words, the last one ending with the text."""
+    if count <= width:
         return np.zeros(min(count, 1), np.int64)
-    starts = np.arange(0, count - WIDTH, STRIDE)
-    return np.append(starts, count - WIDTH)
+    starts = np.arange(0, count - width, stride)
+    return np.append(starts, count - width)
+
+
+def _scatter(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row at its place."""
+    np.add.at(into, at, rows)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -57,7 +62,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters, forward and backward passes. Arrays run over (step, window, unit)."""
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, seed: int = 5, width: int = WIDTH, stride: int = STRIDE):
+        if not 0 < stride <= width:
+            raise ValueError("windows must cover the text: stride must be between 1 and width")
+        self.width, self.stride = width, stride
         r = np.random.default_rng(seed)
         d, h, g = WORD_DIM + CHAR_DIM, HIDDEN, 3 * HIDDEN
 
@@ -140,10 +148,10 @@ class Network:
             g[f"W{side}"], g[f"b{side}"] = xs.reshape(-1, xs.shape[2]).T @ flat, flat.sum(axis=0)
             dx += dgates @ p[f"W{side}"].T
         dt = np.zeros_like(x)
-        np.add.at(dt, tokens.reshape(-1), dx.reshape(-1, x.shape[1]))
+        _scatter(dt, tokens.reshape(-1), dx.reshape(-1, x.shape[1]))
         slot, grams, size = parts
-        np.add.at(g["word"], slot, dt[:, :WORD_DIM])
-        np.add.at(g["char"], grams, np.repeat(dt[:, WORD_DIM:] / np.maximum(1, size)[:, None], size, axis=0))
+        _scatter(g["word"], slot, dt[:, :WORD_DIM])
+        _scatter(g["char"], grams, np.repeat(dt[:, WORD_DIM:] / np.maximum(1, size)[:, None], size, axis=0))
         return g
 
 
@@ -176,13 +184,14 @@ class Reader:
     def score(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Probability of each window of each text."""
         ids = self.index(texts)
-        starts = [windows(len(t)) for t in ids]
+        width = self.net.width
+        starts = [windows(len(t), width, self.net.stride) for t in ids]
         out: list[np.ndarray] = [np.empty(0, np.float32)] * len(texts)
-        flat = np.concatenate([*ids, np.zeros(WIDTH, np.int64)])
+        flat = np.concatenate([*ids, np.zeros(width, np.int64)])
         offset = np.cumsum([0, *(len(i) for i in ids[:-1])])
         counts = np.array([len(s) for s in starts])
         at = np.concatenate([s + o for s, o in zip(starts, offset, strict=True)]) if len(starts) else np.empty(0, np.int64)
-        sizes = np.repeat(np.minimum([len(i) for i in ids], WIDTH), counts)
+        sizes = np.repeat(np.minimum([len(i) for i in ids], width), counts)
         prob = np.empty(len(at), np.float32)
         order = np.argsort(-sizes, kind="stable")
         for lo in range(0, len(order), _BATCH):
@@ -196,7 +205,7 @@ class Reader:
         return out
 
 
-def _suspects(texts: list[list[str]], y: np.ndarray) -> list[np.ndarray]:
+def _suspects(texts: list[list[str]], y: np.ndarray, width: int, stride: int) -> list[np.ndarray]:
     """A first guess at each window's toxicity: the strongest character n-gram, by log-odds of the labelled documents."""
     vocabulary = sorted({w for t in texts for w in t})
     grams, ends = char_grams(vocabulary)
@@ -209,28 +218,28 @@ def _suspects(texts: list[list[str]], y: np.ndarray) -> list[np.ndarray]:
             df[int(label), np.unique(np.concatenate([grams[starts[i] : ends[i]] for i in u]))] += 1
     odds = np.log(df[1] / (y.sum() + 2)) - np.log(df[0] / ((1 - y).sum() + 2))
     strength = np.maximum.reduceat(odds[grams] * np.sqrt(np.minimum(df[1][grams], 50)), starts)
-    return [np.array([strength[own[s : s + WIDTH]].max() for s in windows(len(own))]) for own in ids]
+    return [np.array([strength[own[s : s + width]].max() for s in windows(len(own), width, stride)]) for own in ids]
 
 
-def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS, steps: int = STEPS, rate: float = RATE, seed: int = 5) -> Network:
+def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS, steps: int = STEPS, rate: float = RATE, seed: int = 5, width: int = WIDTH, stride: int = STRIDE) -> Network:
     """``rounds`` times, picks each document's worst window and takes ``steps`` gradient steps of 64 windows, however many there are."""
-    net, rng, y = Network(seed), np.random.default_rng(seed), (np.array(labels) > 0).astype(np.float32)
+    net, rng, y = Network(seed, width, stride), np.random.default_rng(seed), (np.array(labels) > 0).astype(np.float32)
     tokens = [words(t) for t in texts]
     full = [i for i, t in enumerate(tokens) if t]
     tokens, y = [tokens[i] for i in full], y[full]
-    worst = _suspects(tokens, y)
+    worst = _suspects(tokens, y, width, stride)
     (m, v), step = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2)), 0
     for turn in range(rounds):
         if turn:
             worst = Reader(net).score(tokens)
         picked, goal = [], []
         for t, s, label in zip(tokens, worst, y, strict=True):
-            starts = windows(len(t))
+            starts = windows(len(t), width, stride)
             own = {int(starts[int(np.argmax(s))])}
             if not label:
                 own.add(int(rng.choice(starts)))
             for a in own:
-                picked.append(t[a : a + WIDTH])
+                picked.append(t[a : a + width])
                 goal.append(label)
         goal = np.array(goal, np.float32)
         share = np.clip(goal.mean(), 1e-3, 1 - 1e-3)
@@ -255,24 +264,23 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS, steps: int
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", rows: int = TRAIN) -> Network | None:
-    """Fits on at most ``rows`` labelled documents, half of each class at most, drawn by hash of doc_id; None unless there are both.
+def train(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", rows: int = TRAIN, width: int = WIDTH, stride: int = STRIDE) -> Network | None:
+    """Fits on at most ``rows`` labelled texts, half of each class at most, drawn by hash; None unless there are both classes.
 
     Of a doc_id with several labels the largest counts; null ids, labels and texts don't.
     """
-    own = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg((F.max(column) > 0).cast("int").alias("__y"))
-    drawn = own.withColumn("__r", F.row_number().over(Window.partitionBy("__y").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id"))).where(F.col("__r") <= rows // 2)
-    got = docs.select("doc_id", "text").where("text is not null").join(broadcast_if_small(drawn.drop("__r"), rows, 24), "doc_id").collect()
-    data = sorted({(r.doc_id, r.text, r["__y"]) for r in got})
-    return fit([t for _, t, _ in data], [y for _, _, y in data]) if len({y for _, _, y in data}) == 2 else None
+    own = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg((F.max(column) > 0).cast("int").alias("y"))
+    data = labelled_sample(docs, own, rows // 2)
+    return fit([t for t, _ in data], [y for _, y in data], width=width, stride=stride) if len({y for _, y in data}) == 2 else None
 
 
 def score(docs: DataFrame, net: Network | None, *, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with toxic_windows (long), toxic_score (double) and toxic (score >= threshold), replacing columns of these names.
 
-    The score is that of the worst of all overlapping windows of the whole text. A text without words (null and empty included),
-    or a missing model, has 0 windows, a null score and is not toxic. Equal texts have equal scores up to rounding. Other columns
-    and the rows' multiplicity stay; an empty table gives no rows.
+    The score is that of the worst of all overlapping windows (the network's ``width`` words, one every ``stride``) of the whole text,
+    however long; a score of exactly the threshold is toxic. A text without words (null and empty included),
+    or a missing model, has 0 windows, a null score and is not toxic. Equal texts have equal scores up to rounding. Other columns,
+    whatever their names, and the rows' multiplicity stay; an empty table gives no rows.
     """
     names = ["toxic_windows", "toxic_score", "toxic"]
     docs = docs.drop(*names)

@@ -2,6 +2,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,9 @@ from sitequarry.llm import language_id as L
 from sitequarry.llm import quality as Q
 from sitequarry.llm import toxicity as T
 from sitequarry.llm import url_filter as U
-from sitequarry.llm.common import TokenHash
+from sitequarry.llm.common import TokenHash, labelled_sample, mix64
+
+from .conftest import tokens
 
 TABLES = "/root/testdata/sf0.1"
 
@@ -189,12 +192,54 @@ def test_quality_held_out(labelled):
     assert (ok[y]).mean() > 0.98 and (~ok[~y]).mean() > 0.9
 
 
-def test_dual_descent_reaches_the_margin():
-    """On separable data every training text is on its side, and the dual's optimum is that of the primal."""
-    texts = [f"good{i % 5} fine nice" for i in range(30)] + [f"bad{i % 5} poor sad" for i in range(30)]
-    m = Q.Model(texts, [1] * 30 + [0] * 30, beta=0.0)
-    s = m.score(texts, TokenHash())
-    assert s[:30].min() > 0.9 and s[30:].max() < -0.9
+def plain_features(text):
+    """Distinct hashed words, signs and pairs of them; a repeated token is one feature."""
+    t = re.findall(r"\w+|[^\w\s]+", text or "")
+    h = [xxhash.xxh3_64_intdigest(x.encode()) for x in t]
+    big, fin = (1 << 64) - 1, 0xD6E8FEB86659FD93
+
+    def mix(x):
+        x = (x ^ x >> 32) * fin & big
+        x = (x ^ x >> 29) * fin & big
+        return x ^ x >> 32
+
+    return {mix(x) >> 64 - Q.BITS for x in h} | {mix(int(Q._REPEAT) if x == y else (x * 0x9E3779B97F4A7C15 + y) & big) >> 64 - Q.BITS for x, y in zip(h, h[1:])}
+
+
+def test_quality_against_brute_force(spark, data):
+    """Features token by token, log-count ratios by counting, a hinge loss whose dual equals its primal, and the score, over all documents."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    y = {r.doc_id: 1 if r.quality > 0 else -1 for r in labels.collect()}
+    rows = [(plain_features(r.text), y[r.doc_id]) for r in docs.collect() if r.doc_id in y]
+    count = {s: Counter(f for own, t in rows if t == s for f in own) for s in (1, -1)}
+    seen = sorted(set(count[1]) | set(count[-1]))
+    total = {s: sum(Q.SMOOTH + count[s][f] for f in seen) for s in (1, -1)}
+    ratio = {f: math.log((Q.SMOOTH + count[1][f]) / total[1] / ((Q.SMOOTH + count[-1][f]) / total[-1])) for f in seen}
+    place = {f: i for i, f in enumerate(seen)}
+    xs = [(np.array([place[f] for f in sorted(own)], int), np.array([ratio[f] for f in sorted(own)]) / math.sqrt(max(1, len(own)))) for own, _ in rows]
+    goal = np.array([float(t) for _, t in rows])
+    cost = Q.COST * len(goal) / (2 * np.where(goal > 0, (goal > 0).sum(), (goal < 0).sum()))
+    w, b, alpha = Q.descend(xs, goal, cost, len(seen), 400)
+    primal = 0.5 * (w @ w + b * b) + sum(c * max(0.0, 1 - t * (w[f] @ v + b)) for (f, v), t, c in zip(xs, goal, cost))
+    dual = alpha.sum() - 0.5 * (w @ w + b * b)
+    assert 0 <= primal - dual < 5e-3 * max(1.0, primal) and (alpha >= 0).all() and (alpha <= cost + 1e-12).all()
+    m = Q.train(docs, labels)
+    mean = np.abs(w).mean()
+    for r in Q.classify(docs, m).collect():
+        own = plain_features(r.text)
+        got = sum(float(m.weights[f]) for f in own) / math.sqrt(max(1, len(own))) + m.bias
+        assert abs(r.quality_score - got) < 1e-4 and r.quality_ok == (r.quality_score >= Q.THRESHOLD)
+        want = sum(((1 - Q.BETA) * w[place[f]] + Q.BETA * mean) * ratio[f] for f in own if f in place) / math.sqrt(max(1, len(own))) + (1 - Q.BETA) * b
+        assert abs(want - got) < 0.02 * max(1.0, abs(want))
+
+
+def test_quality_ties_and_bounded_samples(spark):
+    docs = spark.createDataFrame([(1, f"good text {i}") for i in range(300)] + [(2, f"bad words {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len(labelled_sample(docs, labels.withColumnRenamed("quality", "y"), 20)) == 40
+    m = Q.train(docs, labels)
+    s = Q.classify(docs.limit(1), m).first().quality_score
+    assert [r.quality_ok for t in (s, np.nextafter(s, 9)) for r in Q.classify(docs.limit(1), m, threshold=float(t)).collect()] == [True, False]
 
 
 def test_quality_edges(spark, nasty, none):
@@ -312,6 +357,63 @@ def test_windows_cover_everything():
         assert all(b - a <= T.STRIDE for a, b in zip(w, w[1:])) and (n <= T.WIDTH or w[-1] + T.WIDTH == n)
 
 
+def plain_scores(net, text):
+    """Of each window, word by word and gate by gate."""
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, T.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def entry(word):
+        marked = f"^{word}$"
+        grams = []
+        for n in T.ORDERS:
+            for i in range(len(marked) - n + 1):
+                x = ord(marked[i])
+                for c in marked[i + 1 : i + n]:
+                    x = (x * 0x100000001B3 + ord(c)) % 2**64
+                grams.append(int(mix64(np.array([(x + n) % 2**64], np.uint64))[0]) >> 64 - T.CHAR_BITS)
+        return np.concatenate([p["word"][xxhash.xxh3_64_intdigest(word.encode()) >> 64 - T.WORD_BITS], p["char"][grams].mean(axis=0)])
+
+    def read(xs, side):
+        state, out = np.zeros(h), []
+        for x in xs:
+            a, y = x @ p[f"W{side}"] + p[f"b{side}"], state @ p[f"U{side}"]
+            r, z = sig(a[:h] + y[:h]), sig(a[h : 2 * h] + y[h : 2 * h])
+            new = np.tanh(a[2 * h :] + r * (y[2 * h :] + p[f"q{side}"]))
+            state = (1 - z) * new + z * state
+            out.append(state)
+        return out
+
+    t, out = tokens(text), []
+    xs = {w: entry(w) for w in set(t)}
+    starts = sorted({*range(0, len(t) - net.width, net.stride), max(0, len(t) - net.width)}) if t else []
+    for s in starts:
+        own = [xs[w] for w in t[s : s + net.width]]
+        both = np.array([np.concatenate(x) for x in zip(read(own, "f"), read(own[::-1], "b")[::-1])])
+        e = np.exp(np.tanh(both @ p["A"] + p["a"]) @ p["v"])
+        out.append(float(sig((e / e.sum()) @ both @ p["w"] + p["c"][0])))
+    return out
+
+
+@pytest.mark.parametrize("stride", [T.STRIDE, 5])
+def test_toxicity_against_brute_force(spark, data, stride):
+    """Every window of every document, with a network trained on some."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").where(f"doc_id % {1 if stride == T.STRIDE else 5} = 0")
+    rows = docs.collect()
+    net = T.fit([r.text for r in rows[:40]], [i % 2 for i in range(40)], rounds=1, steps=30, stride=stride)
+    for r in T.score(docs, net, threshold=0.5).collect():
+        p = plain_scores(net, r.text)
+        assert r.toxic_windows == len(p)
+        if p:
+            assert abs(r.toxic_score - max(p)) < 1e-4 and (abs(max(p) - 0.5) < 1e-4 or r.toxic == (max(p) >= 0.5))
+
+
+def test_toxicity_score_of_the_threshold(spark):
+    docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
+    net = T.Network(4)
+    s = T.score(docs, net).first().toxic_score
+    assert [T.score(docs, net, threshold=float(t)).first().toxic for t in (s, np.nextafter(s, 1))] == [True, False]
+
+
 def test_batches_do_not_change_scores(labelled):
     net = T.Network(3)
     texts = [T.words(r.text) for r in labelled[:60]]

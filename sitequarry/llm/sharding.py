@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StructField, StructType
 
-from .common import Workspace, broadcast_if_small
+from .common import Workspace, broadcast_if_small, free_names
 
 SHARDS, SEED, ROUNDS = 64, 2024, 6
 _A, _B = 0x7FEB352D, 0x6C62272E
@@ -59,45 +59,47 @@ def permute(x: np.ndarray, rows: int, seed: int = SEED, rounds: int = ROUNDS, in
     return x.astype(np.int64)
 
 
-def number_rows(ws: Workspace, docs: DataFrame, by: str, kept: list[str]) -> tuple[DataFrame, int]:
-    """(the kept columns with ``__row`` 0, 1, 2 ... in order of ``by``, nulls first; the number of rows).
+def number_rows(ws: Workspace, docs: DataFrame, by: str, kept: list[str], row: str) -> tuple[DataFrame, int]:
+    """(the kept columns with ``row`` 0, 1, 2 ... in order of ``by``, nulls first; the number of rows).
 
     Ties go by a hash of all columns, so that only equal rows can change places.
     """
+    tie, number, part, start = free_names(docs, "tie", "number", "part", "start")
     plain = [f.name for f in docs.schema if not isinstance(f.dataType, MapType)]
-    order = docs.select(*{by: 0, **dict.fromkeys(kept)}, F.xxhash64(*plain).alias("__tie")).repartitionByRange(F.col(by), F.col("__tie")).sortWithinPartitions(by, "__tie").select(*kept)
-    done = ws.table(order.withColumn("__id", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("__id", 33)
-    sizes = done.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).collect()
+    order = docs.select(*{by: 0, **dict.fromkeys(kept)}, F.xxhash64(*plain).alias(tie)).repartitionByRange(F.col(by), F.col(tie)).sortWithinPartitions(by, tie).select(*kept)
+    done = ws.table(order.withColumn(number, F.monotonically_increasing_id()), "ordered")
+    done = done.withColumn(part, F.shiftright(number, 33))
     offsets, total = [], 0
-    for r in sorted(sizes):
-        offsets.append((r[0], total))
-        total += r.n
-    starts = docs.sparkSession.createDataFrame(offsets, "__part long, __start long")
-    out = done.withColumn("__part", part).join(broadcast_if_small(starts, len(offsets), 32), "__part")
-    return out.withColumn("__row", F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__part", "__start", "__id"), total
+    for k, n in sorted(tuple(r) for r in done.groupBy(part).count().collect()):
+        offsets.append((k, total))
+        total += n
+    starts = docs.sparkSession.createDataFrame(offsets, f"{part} long, {start} long")
+    out = done.join(broadcast_if_small(starts, len(offsets), 32), part)
+    return out.withColumn(row, F.col(start) + F.col(number).bitwiseAND((1 << 33) - 1)).drop(part, start, number), total
 
 
 def shard(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED, by: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or these columns of it) with row_number, shard and slot (longs), replacing columns of these names.
 
     Place p of a row is the permutation of its number; shard = p mod shards, slot = p div shards: shards differ by one row at most,
-    and slots of a shard are 0, 1, 2 ... Equal rows are numbered one after another. Null keys come first. An empty table gives no rows.
+    and slots of a shard are 0, 1, 2 ... Equal rows are numbered one after another. Null keys come first, ties go by a hash of all
+    columns. Null, empty and very long texts and other columns of any names are carried along. An empty table gives no rows.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     names = ["row_number", "shard", "slot"]
     docs = docs.drop(*names)
-    rows, total = number_rows(Workspace(docs.sparkSession, "shard"), docs, by, columns or docs.columns)
+    (row,) = free_names(docs, "row")
+    rows, total = number_rows(Workspace(docs.sparkSession, "shard"), docs, by, columns or docs.columns, row)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.column("__row").to_numpy()
+            n = b.column(row).to_numpy()
             p = permute(n, total, seed)
-            kept = [c for c in b.schema.names if c != "__row"]
+            kept = [c for c in b.schema.names if c != row]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n), pa.array(p % shards), pa.array(p // shards)], [*kept, *names])
 
-    kept = [f for f in rows.schema if f.name != "__row"]
+    kept = [f for f in rows.schema if f.name != row]
     return rows.mapInArrow(run, StructType([*kept, *(StructField(n, LongType()) for n in names)]))
 
 

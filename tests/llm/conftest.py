@@ -5,7 +5,7 @@ import pytest
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, uid string, component int, rate string, copies string, shard string, slot string, "
-    "row_number string, key string, lang_ok string, toxic string, quality_ok string, lm_bits string"
+    "row_number string, key string, lang_ok string, toxic string, quality_ok string, lm_bits string, __row string, __v string, __copy string, __id string, part string, `a b` string, h string, g string, r string, y string, value string, maybe string"
 )
 LONG = " ".join(f"word{i % 997}" for i in range(60_000))
 
@@ -39,7 +39,7 @@ def documents():
         (8, LONG + " end", "en", "b"), (None, prose, "en", "a"), (None, None, None, None), (9, "short", "de", "a"), (10, "short", "de", None), (9, "another text under the same number", "en", "b"),
         (11, "日本語のテキスト", None, "c"), (12, "😀 🙂 !!! ###", "en", "c"), (13, "der die das und ist nicht ein eine mit auf für von dem den", "de", "c"), (14, "İstanbul İİ\x00 zero", "en", "c"),
     ]
-    return [(i, None if t is None else t.encode("utf-8", "replace").decode(), lang, s, None if t is None else len(t), *extra[:1], 7, *("clash",) * 10) for i, t, lang, s in rows]
+    return [(i, None if t is None else t.encode("utf-8", "replace").decode(), lang, s, None if t is None else len(t), *extra[:1], 7, *("clash",) * 22) for i, t, lang, s in rows]
 
 
 @pytest.fixture(scope="session")

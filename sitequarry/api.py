@@ -6,6 +6,7 @@ for the network).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import limits as L
 from . import schema
-from .functions.urls import canonical, loc_key, with_url
+from .functions.urls import absoluteness, authority, canonical, loc_key, with_url
 from .operators import diff as DF
 from .operators import entry_rules as E
 from .operators import index as IX
@@ -145,9 +146,10 @@ def audit(
     all_parsed = parsed.unionByName(S.with_base(ex.parsed).select(*parsed.columns)) if ex.parsed.columns else parsed
     urls = S.urls(entries.orderBy("root", "ord", "entry_ix"))
     if on_urls is not None:
+        per = ws.partitioned(entries.withColumn("sitemap", F.col("source_sitemap")), "by-sitemap", "sitemap")  # each call reads its own folder
         for r in entries.select("root", "ord", "source_sitemap").distinct().orderBy("root", "ord", "source_sitemap").collect():
             try:
-                on_urls(S.urls(entries.where(F.col("source_sitemap") == r.source_sitemap).orderBy("entry_ix")), r.source_sitemap)
+                on_urls(S.urls(per.where(F.col("sitemap") == r.source_sitemap).drop("sitemap").orderBy("entry_ix")), r.source_sitemap)
             except Exception as e:
                 raise RuntimeError(f"on_urls failed for {r.source_sitemap}") from e
     roots = parsed.select(
@@ -187,33 +189,43 @@ class Validation:
 
 def validate(
     spark: SparkSession, sources: Source | Iterable[Source], *, mode: str = "strict", ruleset: str | None = None, context: Context = Context(), robots_files: DataFrame | None = None, robots_agent: str = "*",
-    robots_states: DataFrame | None = None, inspect: PageInspection | None = None, **how,
+    robots_states: DataFrame | None = None, check_robots: bool = False, inspect: PageInspection | None = None, **how,
 ) -> Validation:
-    """Findings of all sources, opt-in with robots.txt (``robots_files``: origin, text; ``robots_states``: origin, state) and pages."""
+    """Findings of all sources, opt-in with robots.txt and pages. ``check_robots`` fetches each origin's robots.txt, once, through the
+    transport; ``robots_files`` (origin, text) and ``robots_states`` (origin, state) are for those at hand."""
     rules = Ruleset(ruleset, context) if ruleset else None
     done = audit(spark, sources, mode=mode, ruleset=rules, **how)
     parts = [done.findings]
     subjects = done.entries.select("base", "loc").where("loc is not null")
     decisions = None
+    sites = done.parsed.where("final_url is not null").select("base", F.col("final_url").alias("sitemap_url"))
+    locs = subjects.select("loc").unionByName(sites.select(F.col("sitemap_url").alias("loc")))
+    if check_robots and robots_files is None:
+        if how.get("transport") is None:
+            raise ValueError("robots.txt is fetched only with a transport")
+        origins = with_url(locs.where(absoluteness(F.col("loc")) == "http(s)")).where("url.host is not null").select(F.concat(authority(F.col("url")), F.lit("/robots.txt")).alias("url")).distinct()
+        fetched = _fetcher(how["transport"], how.get("policy", H.Policy()), how.get("limits", L.FetchLimits()))(origins)
+        robots_files, robots_states = RB.fetched_files(Workspace(spark, "robots").table(fetched, "files"))
     if robots_files is not None:
-        sites = done.parsed.where("final_url is not null").select("base", F.col("final_url").alias("sitemap_url"))
-        locs = subjects.select("loc").unionByName(sites.select(F.col("sitemap_url").alias("loc")))
         decisions = RB.decide(locs, RB.rules(robots_files), robots_states, robots_agent)
         parts += [RB.robots_findings(subjects, decisions), RB.robots_sitemap_findings(sites, decisions)]
     coverage = None
     if inspect is not None:
         ws = Workspace(spark, "pages")
-        most = int(min(inspect.budget.max_pages, inspect.sample or inspect.budget.max_pages))
+        budget, began = inspect.budget, time.time()
+        most = int(min(budget.max_pages, inspect.sample or budget.max_pages))
         selected = ws.table(P.select_pages(subjects, most), "selected")
-        artifacts = ws.table(H.fetch_pages(selected, inspect.transport, inspect.policy, cap=int(inspect.budget.page_body_cap)), "artifacts")
+        artifacts = ws.table(H.fetch_pages(selected, inspect.transport, inspect.policy, cap=int(budget.page_body_cap), deadline=began + budget.max_seconds), "artifacts")
+        artifacts, elapsed = ws.table(P.within_budget(selected, artifacts, budget), "within"), time.time() - began
         keyed = with_url(subjects.distinct()).select("base", F.col("loc").alias("advertised"), "loc_key")
-        shown = artifacts.join(selected, "loc").drop("loc").join(keyed, "loc_key").withColumnRenamed("advertised", "loc")
+        shown = artifacts.drop("cap").join(selected, "loc").drop("loc").join(keyed, "loc_key").withColumnRenamed("advertised", "loc")
         facts = P.facts(shown.drop("loc_key"))
         noindex = P.noindex_findings(facts, rules)
         if decisions is not None:
             noindex = P.attach_trap(noindex, decisions, rules)
         parts += [P.transport_findings(shown.drop("loc_key")), P.canonical_findings(facts), noindex, P.page_hreflang_findings(facts, P.declared_alternates(done.entries))]
-        coverage = P.coverage(selected, artifacts)
+        eligible = with_url(subjects.where(absoluteness(F.col("loc")) == "http(s)").select("loc")).where("url.host is not null").select("loc", "loc_key")
+        coverage = P.coverage(selected, artifacts, eligible, mode="sample" if inspect.sample else "full", elapsed=elapsed)
     if len(parts) == 1:
         return Validation(done.findings)
     return Validation(assemble(spark, [union(parts)], mode, rules), coverage)

@@ -100,6 +100,7 @@ def cluster_summary(nodes: DataFrame) -> DataFrame:
 def graph_findings(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Missing self references, links without a link back (targets inside the corpus only) and targets under several languages."""
     base, source, target = F.col("base"), F.col("source_key"), F.col("target_key")
+    edges = Workspace(edges.sparkSession, "graph").table(edges.select("doc_id", "base", "source_key", "target_key", "hreflang"), "edges")  # read by every branch below
     pairs = edges.select("doc_id", "base", "source_key", "target_key").distinct()
     selfs = pairs.where(source == target).select("doc_id", "source_key")
     lonely = pairs.select("doc_id", "base", "source_key").distinct().join(selfs, ["doc_id", "source_key"], "left_anti")

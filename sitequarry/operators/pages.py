@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..limits import PageBudget
 from ..rulesets import CRAWLERS, Ruleset
 from .findings import finding, hits
 
@@ -21,6 +22,8 @@ ARTIFACT = (
     "headers map<string,array<string>>, body binary, truncated boolean, outcome string"
 )
 
+_HOPS = "array<struct<url:string,status:int,location:string>>"
+
 
 def select_pages(locs: DataFrame, sample: int | None = 50) -> DataFrame:
     """Pages to inspect: one URL an identity (the least spelling), the first ``sample`` by a hash of the key; all for None."""
@@ -154,14 +157,32 @@ def page_hreflang_findings(pages: DataFrame, declared: DataFrame) -> DataFrame:
     return hits(rows, (F.array_sort("alternates") != F.array_sort("declared"), finding("PAGE_HREFLANG_MISMATCH", page_ref(F.col("base"), F.col("loc")), F.concat(F.col("loc"), F.lit(" declares other alternates than the sitemap.")), excerpt=counts)))
 
 
-def coverage(selected: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """One row of tallies: how far the inspection came."""
+def within_budget(selected: DataFrame, artifacts: DataFrame, budget: PageBudget) -> DataFrame:
+    """``artifacts`` (a loc each) in the order of selection as far as the budget reaches; later ones are skipped, without a body. ``cap``
+    names the limit that is used up before a page's turn: requests, bytes or seconds (which the fetch itself has seen). At most
+    ``max_pages`` rows, so that one running sum will do."""
+    before = Window.orderBy(F.sha2("loc_key", 256), "loc_key").rowsBetween(Window.unboundedPreceding, -1)
+    tried = F.col("outcome") != "skipped"
+    used = lambda x: F.coalesce(F.sum(F.when(tried, x)).over(before), F.lit(0))
+    rows = artifacts.join(selected.select("loc", "loc_key"), "loc")
+    rows = rows.withColumn("__requests", used(1 + F.size(F.coalesce("hops", F.array().cast(_HOPS))))).withColumn("__bytes", used(F.coalesce(F.octet_length("body"), F.lit(0))))
+    cap = F.when(F.col("__requests") >= budget.max_requests, "max_requests").when(F.col("__bytes") >= budget.max_bytes, "max_bytes").when(~tried, "max_seconds")
+    rows = rows.withColumn("cap", cap).withColumn("outcome", F.when(F.col("cap").isNotNull(), "skipped").otherwise(F.col("outcome")))
+    return rows.withColumn("body", F.when(F.col("cap").isNull(), F.col("body"))).drop("__requests", "__bytes", "loc_key")
+
+
+def coverage(selected: DataFrame, artifacts: DataFrame, eligible: DataFrame | None = None, *, mode: str = "sample", elapsed: float | None = None) -> DataFrame:
+    """One row of tallies: how far the inspection came. ``eligible``: loc, loc_key of all that could have been selected. ``caps_hit`` names the
+    budget that ended the run, of which the first in the order of selection counts."""
     n = lambda cond: F.coalesce(F.sum(cond.cast("int")), F.lit(0)).cast("int")
     out = F.col("outcome")
+    cap = F.col("cap") if "cap" in artifacts.columns else F.lit(None).cast("string")
     got = artifacts.agg(
         n(out != "skipped").alias("attempted"), n(out == "usable_body").alias("completed"), n(out == "partial").alias("partial"),
         n(~out.isin("usable_body", "partial", "skipped")).alias("failed"), n(out == "skipped").alias("skipped"),
-        F.coalesce(F.sum(F.when(out != "skipped", 1 + F.size(F.coalesce("hops", F.array().cast("array<struct<url:string,status:int,location:string>>"))))), F.lit(0)).cast("int").alias("requests"),
-        F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).cast("long").alias("bytes"),
+        F.coalesce(F.sum(F.when(out != "skipped", 1 + F.size(F.coalesce("hops", F.array().cast(_HOPS))))), F.lit(0)).cast("int").alias("requests"),
+        F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).cast("long").alias("bytes"), F.sort_array(F.collect_set(cap)).alias("caps_hit"),
     )
-    return selected.agg(F.count("*").cast("int").alias("selected")).crossJoin(got)
+    known = (selected if eligible is None else eligible).agg(F.count("*").cast("int").alias("eligible"), F.count_distinct("loc_key").cast("int").alias("deduplicated"))
+    rows = known.crossJoin(selected.agg(F.count("*").cast("int").alias("selected"))).crossJoin(got)
+    return rows.withColumns({"elapsed": F.lit(elapsed).cast("double"), "mode": F.lit(mode), "partial_run": F.size("caps_hit") > 0})

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import base_ref, loc_key, with_url
+from ..functions.urls import absoluteness, base_ref, loc_key, with_url
 from ..limits import IndexLimits
 from ..operators.findings import finding, hits
 from ..operators.index import distinct_children
@@ -143,8 +143,9 @@ class _Replay:
 
 def _children(parsed: DataFrame, ws: Workspace, name: str, limits: IndexLimits) -> DataFrame:
     """(url, key) of the children to fetch of the indexes in ``parsed``."""
-    kids = distinct_children(S.children(S.with_base(parsed)).where("loc like 'http%'")).where(F.col("nth") <= limits.max_children)
-    return ws.table(kids.select(F.col("loc").alias("url"), "loc_key").dropDuplicates(["loc_key"]), name)
+    kids = S.children(S.with_base(parsed))
+    kids = distinct_children(kids.where(absoluteness(F.col("loc")) == "http(s)")).where(F.col("nth") <= limits.max_children)
+    return ws.table(kids.groupBy("loc_key").agg(F.min_by("loc", F.struct("doc_id", "nth")).alias("url")).select("url", "loc_key"), name)
 
 
 def expand(spark: SparkSession, roots: DataFrame, fetcher: Fetcher, limits: IndexLimits = IndexLimits()) -> Expansion:

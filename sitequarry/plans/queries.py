@@ -671,3 +671,124 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "pages").select(F.col("url").alias("loc"), F.col("url").alias("final_url"), F.lit("usable_body").alias("outcome"), F.encode("html", "UTF-8").alias("body"), F.expr("map('Content-Type', array('text/html'))").alias("headers"))
     return P.facts(rows).select("loc", F.size("canonicals").alias("canonicals"), F.size("alternates").alias("alternates"), F.size("directives").alias("directives"))
 
+
+
+# == robots groups and findings
+
+_GROUPS = {
+    0: "User-agent: Bot/1.0\nDisallow:\n\nUser-agent: *\nDisallow: /", 1: "User-agent: bot\nDisallow: /a\nUser-agent: *\nDisallow: /", 2: "User-agent: other\nDisallow: /",
+    3: "User-agent: *\nDisallow: /%C3%BC\nAllow: /ü/open\nDisallow: /*z*z$",
+}
+_ASKED = ("/", "/a/b", "/ü", "/ü/open", "/zoo", "/zz")
+
+
+@query(
+    "robots_groups",
+    "WITH t(path) AS (VALUES " + ", ".join(f"('{p}')" for p in _ASKED) + f") SELECT concat({_ORIGIN}, path) AS loc, CASE WHEN n_nationkey % 4 = 1 AND path = '/a/b' OR n_nationkey % 4 = 3 AND path IN ('/ü', '/zz') THEN 'disallow' ELSE 'allow' END AS decision FROM nation, t",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    text = F.element_at(F.create_map(*[F.lit(x) for kv in _GROUPS.items() for x in kv]), (F.col("n_nationkey") % 4).cast("int"))
+    files = _robots_files(spark, d).withColumn("text", text)
+    locs = files.select("origin", F.explode(F.array(*map(F.lit, _ASKED))).alias("p")).select(F.concat("origin", "p").alias("loc"))
+    return RB.decide(locs, RB.rules(files), agent="Bot/2.3").select("loc", "decision")
+
+
+_STATE = "CASE n_nationkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'absent' ELSE 'timeout' END"
+
+
+@query(
+    "robots_findings",
+    f"WITH n AS (SELECT {_ORIGIN} AS origin, {_STATE} AS state FROM nation), l AS (SELECT origin, state, concat('sitemap', substr(origin, 6), '/private/s.xml') AS base, path FROM n, (VALUES ('/private/x'), ('/free')) t(path)), f AS (SELECT *, concat(base, '#page-url:', origin, path) AS ref FROM l) "
+    + _rule("ROBOTS_DISALLOWED", "warning", "state = 'ok' AND path = '/private/x'") + " UNION ALL " + _rule("ROBOTS_INDETERMINATE", "info", "state = 'timeout'") + " UNION ALL " + _rule("ROBOTS_SITEMAP_DISALLOWED", "warning", "state = 'ok' AND path = '/free'", "base"),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    files = _robots_files(spark, d)
+    states = files.select("origin", F.expr(_STATE).alias("state"))
+    sites = files.select(F.concat("origin", F.lit("/private/s.xml")).alias("sitemap_url")).select(U.base_ref(F.col("sitemap_url")).alias("base"), "sitemap_url")
+    subjects = files.select(U.base_ref(F.concat("origin", F.lit("/private/s.xml"))).alias("base"), F.explode(F.array(F.concat("origin", F.lit("/private/x")), F.concat("origin", F.lit("/free")))).alias("loc"))
+    decisions = RB.decide(subjects.select("loc").unionByName(sites.select(F.col("sitemap_url").alias("loc"))), RB.rules(files), states)
+    return _found(RB.robots_findings(subjects, decisions).unionByName(RB.robots_sitemap_findings(sites, decisions)))
+
+
+# == order, messages, evidence
+
+
+@query(
+    "findings_order",
+    f"WITH a AS ({_all(True)}) SELECT code, severity, subject_ref, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, subject_ref, code) - 1 AS place FROM a",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.findings import order
+    from ..storage import Workspace
+
+    found = Workspace(spark, "order").table(_assembled(spark, d, "strict"), "findings")
+    return order(found).select("code", "severity", "subject_ref").coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+@query("text_url_too_long", f"WITH f AS (SELECT page_id, concat('sitemap://t#line:', CAST(page_id AS VARCHAR)) AS ref, concat({X_CLEAN}, '/', repeat('a', 2040 - length({X_CLEAN}) + CAST(page_id % 16 AS INTEGER))) AS loc FROM pages) SELECT 'PROTOCOL_TEXT_URL_TOO_LONG' AS code, 'warning' AS severity, ref AS subject_ref, concat('The URL has ', CAST(length(loc) AS VARCHAR), ' characters; 2047 are allowed.') AS message, page_id AS line, substr(loc, 1, 200) AS excerpt FROM f WHERE length(loc) >= 2048")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    loc = F.expr(f"concat({X_CLEAN}, '/', repeat('a', cast(2040 - length({X_CLEAN}) + page_id % 16 as int)))")
+    lines = _table(spark, d, "pages").select(F.lit("t").alias("doc_id"), F.lit("sitemap://t").alias("base"), F.col("page_id").alias("line_no"), loc.alias("raw"))
+    return E.text_findings(lines).select("code", "severity", "subject_ref", "message", F.col("evidence.line").cast("long").alias("line"), "evidence.excerpt")
+
+
+@query(
+    "noindex_findings",
+    _PAGE + ", n AS (SELECT *, regexp_extract(ref, '#page-url:(.*)$', 1) AS loc, page_id % 4 = 0 AS m, page_id % 6 IN (0, 1) AS h, page_id % 4 = 1 OR page_id % 6 = 2 AS x FROM f WHERE outcome IN ('usable_body', 'partial')), g AS (SELECT *, CASE WHEN x THEN 'conflict' WHEN m AND h THEN 'cross_channel' ELSE 'single_channel' END AS path, concat(CASE WHEN NOT x THEN '; yandex leaves it out of the index' ELSE '; yandex still indexes it' END, '.') AS verdict FROM n WHERE m OR h) "
+    "SELECT 'PAGE_META_ROBOTS_NOINDEX' AS code, ref AS subject_ref, path AS excerpt, concat(loc, ' says noindex in its robots meta element', verdict) AS message FROM g WHERE m "
+    "UNION ALL SELECT 'PAGE_XROBOTSTAG_NOINDEX', ref, path, concat(loc, ' says noindex in its X-Robots-Tag header', verdict) FROM g WHERE h",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return P.noindex_findings(P.facts(_artifacts(spark, d, X_META, X_HEADERS)), Ruleset("yandex")).select("code", "subject_ref", "evidence.excerpt", "message")
+
+
+# == whole documents, from bytes
+
+X_ESCAPED = "replace(replace(url, '&', '&amp;'), 'e', '&#101;')"
+_KIND = {0: "urlset", 1: "index", 2: "text", 3: "urlset", 4: "feed"}
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each host, of its pages: sitemaps with comments, sections and references, an index, a text file, a feed."""
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    rows = _table(spark, d, "pages").select("page_id", "url", F.expr(f"{X_HOST} AS host"), F.expr(f"{X_ESCAPED} AS escaped"))
+    rows = rows.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("page_id", "url", "escaped"))).alias("p"), F.min("page_id").alias("k"))
+    each = lambda before, what, after, sep="": F.array_join(F.transform("p", lambda x: F.concat(F.lit(before), x[what], F.lit(after))), sep)
+    text = (
+        F.when(F.col("k") % 5 == 0, F.concat(F.lit(f"<?xml version='1.0'?><!-- c --><urlset {ns}>"), each("<url><!-- x --><loc> ", "escaped", "\n</loc><priority>0.5</priority></url>"), F.lit("</urlset>")))
+        .when(F.col("k") % 5 == 1, F.concat(F.lit(f"<sitemapindex {ns}>"), each("<sitemap><loc>", "escaped", "</loc></sitemap>"), F.lit("</sitemapindex>")))
+        .when(F.col("k") % 5 == 2, each("", "url", "", "\r\n"))
+        .when(F.col("k") % 5 == 3, F.concat(F.lit(f"<s:urlset {ns.replace('xmlns', 'xmlns:s')}>"), each("<s:url><s:loc><![CDATA[", "url", "]]></s:loc></s:url>"), F.lit("</s:urlset>")))
+        .otherwise(F.concat(F.lit('<rss version="2.0"><channel>'), each("<item><link>", "escaped", "</link></item>"), F.lit("</channel></rss>")))
+    )
+    null = lambda kind: F.lit(None).cast(kind)
+    url = F.concat(F.lit("https://"), "host", F.lit("/s"))
+    content = F.encode(text, "UTF-8")
+    return rows.select(
+        F.col("host").alias("doc_id"), url.alias("requested_url"), url.alias("final_url"), null("string").alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("byte_size"), F.lit(200).alias("status"),
+        null("string").alias("content_type"), null("timestamp").alias("fetched_at"), null("string").alias("error_class"),
+    )
+
+
+_PARSED = f"WITH p AS (SELECT page_id, url, {X_HOST} AS host, row_number() OVER (PARTITION BY {X_HOST} ORDER BY page_id) AS ix, min(page_id) OVER (PARTITION BY {X_HOST}) % 5 AS k FROM pages) "
+
+
+@query("parsed_kinds", _PARSED + "SELECT host AS doc_id, CASE k " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _KIND.items()) + " END AS kind, CAST(CASE WHEN k = 1 THEN 0 ELSE count(*) END AS INTEGER) AS entries, CAST(CASE WHEN k = 1 THEN count(*) ELSE 0 END AS INTEGER) AS children FROM p GROUP BY host, k")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import documents as S
+
+    return S.parse(_documents(spark, d)).select("doc_id", "kind", F.size("entries").alias("entries"), F.size("children").alias("children"))
+
+
+@query("parsed_entries", _PARSED + "SELECT host AS doc_id, CAST(ix AS INTEGER) AS entry_ix, url AS loc, CASE WHEN k = 0 THEN '0.5' END AS priority FROM p WHERE k <> 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import documents as S
+
+    return S.entries(S.with_base(S.parse(_documents(spark, d)))).select("doc_id", "entry_ix", "loc", "priority")
+
+
+@query("parsed_children", _PARSED + "SELECT host AS doc_id, CAST(ix AS INTEGER) AS child_ix, url AS loc FROM p WHERE k = 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import documents as S
+
+    return S.children(S.with_base(S.parse(_documents(spark, d)))).select("doc_id", "child_ix", "loc")

@@ -55,13 +55,13 @@ def _bom(data: bytes) -> str | None:
     return "UTF-8" if data[:3] == b"\xef\xbb\xbf" else "UTF-16LE" if data[:2] == b"\xff\xfe" else "UTF-16BE" if data[:2] == b"\xfe\xff" else None
 
 
-def _member(m: raw.Member) -> tuple[list[dict] | None, str]:
+def _member(m: raw.Member, most: int) -> tuple[list[dict] | None, str]:
     """Entries of an archive's member, or why it is passed over."""
     name, data = m.name, m.content
     if not data:
         return None, "empty member"
     if raw.sniff(data) == "gzip":
-        data = raw.gunzip(data)
+        data = raw.gunzip(data, most)
         name = name[:-3] if name.lower().endswith(".gz") else name
     ext = name.rpartition("/")[2].rpartition(".")[2].lower() if "." in name.rpartition("/")[2] else ""
     fmt = raw.sniff(data)
@@ -85,7 +85,7 @@ def _archive(data: bytes, out: dict, limits: ArchiveLimits) -> None:
         if raw.unsafe_name(m.name):
             notes.append({"severity": "warning", "member": m.name, "message": f"The member's name {m.name!r} leads out of the archive."})
             continue
-        rows, why = _member(m)
+        rows, why = _member(m, limits.max_decompressed_bytes)
         if rows is None:
             notes.append({"severity": "info", "member": m.name, "message": f"{m.name} is passed over: {why}."})
         else:

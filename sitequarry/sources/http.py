@@ -6,12 +6,14 @@
 from __future__ import annotations
 
 import base64
+import math
+import ssl
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,8 +141,22 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
         return None
 
 
-def urllib_transport(url: str, headers: dict[str, str], timeout: float, most: int) -> Response:
-    opener = urllib.request.build_opener(_NoRedirect)
+def _handlers(policy: Policy) -> list:
+    out: list = [_NoRedirect]
+    if policy.proxy:
+        p = policy.proxy
+        scheme, _, place = p.url.rpartition("://")
+        user = f"{quote(p.username, safe='')}:{quote(p.password or '', safe='')}@" if p.username else ""
+        at = f"{scheme or 'http'}://{user}{place.rstrip('/')}{f':{p.port}' if p.port else ''}"
+        out.append(urllib.request.ProxyHandler({"http": at, "https": at}))
+    if not policy.verify_tls:
+        out.append(urllib.request.HTTPSHandler(context=ssl._create_unverified_context()))
+    return out
+
+
+def urllib_transport(url: str, headers: dict[str, str], timeout: float, most: int, policy: Policy = Policy()) -> Response:
+    """The network, by the standard library; through the policy's proxy, and without a look at certificates if it says so."""
+    opener = urllib.request.build_opener(*_handlers(policy))
     try:
         r = opener.open(urllib.request.Request(url, headers=headers), timeout=timeout)
     except urllib.error.HTTPError as e:
@@ -183,7 +199,8 @@ def fetch(url: str, transport: Transport, policy: Policy = Policy(), limits: Fet
         for i in range(policy.retry.max_tries):
             pacer.before(now)
             try:
-                r = transport(now, policy.request_headers(now, same), limits.timeout, most)
+                how = {"policy": policy} if transport is urllib_transport else {}
+                r = transport(now, policy.request_headers(now, same), limits.timeout, most, **how)
             except TransportError as e:
                 if i + 1 < policy.retry.max_tries and policy.retry.retry_on_failure:
                     pacer.sleep(policy.retry.wait(i, None))
@@ -241,14 +258,18 @@ def fetch_documents(urls: DataFrame, transport: Transport, policy: Policy = Poli
     return urls.select("url", inferred.alias("inferred")).repartition(host).mapInArrow(run, DOCUMENT)
 
 
-def fetch_pages(pages: DataFrame, transport: Transport, policy: Policy = Policy(), limits: FetchLimits = FetchLimits(), *, cap: int = 1 << 20) -> DataFrame:
-    """``pages`` (loc) as ``operators.pages.ARTIFACT``."""
+def fetch_pages(pages: DataFrame, transport: Transport, policy: Policy = Policy(), limits: FetchLimits = FetchLimits(), *, cap: int = 1 << 20, deadline: float = math.inf) -> DataFrame:
+    """``pages`` (loc) as ``operators.pages.ARTIFACT``. Pages whose turn comes after ``deadline`` (of ``time.time``) are skipped."""
     arrow = to_arrow_schema(_parse_datatype_string(ARTIFACT))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pacer = Pacer(policy.throttle)
         for b in batches:
             for u in b.column("loc").to_pylist():
+                if time.time() >= deadline:
+                    skipped = {"loc": u, "requested_url": u, "final_url": u, "status": None, "hops": [], "headers": [], "body": None, "truncated": False, "outcome": "skipped"}
+                    yield pa.RecordBatch.from_pylist([skipped], schema=arrow)
+                    continue
                 f = fetch(u, transport, policy, limits, cap=cap, no_downgrade=True, pacer=pacer)
                 outcome = "transport_fail" if f.outcome == "timeout" else f.outcome
                 row = {"loc": u, "requested_url": u, "final_url": f.final, "status": f.status, "hops": f.hops, "headers": list(f.headers.items()), "body": f.body, "truncated": f.truncated, "outcome": outcome}

@@ -71,13 +71,16 @@ def sniff_column(content: Column) -> Column:
     return out.when(F.length(F.regexp_replace(sample, "[^\x01-\x08\x0b\x0e-\x1f\x7f]", "")) <= 0.1 * F.length(sample), "text").otherwise("binary")
 
 
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip stream; a corrupt or cut one raises."""
-    out, rest = [], data
+def gunzip(data: bytes, most: int = 500 << 20) -> bytes:
+    """All members of a gzip stream; a corrupt or cut one raises, and one that inflates to more than ``most`` bytes, which is never held."""
+    out, rest, left = [], data, most
     try:
         while rest:
             d = zlib.decompressobj(31)
-            out.append(d.decompress(rest))
+            out.append(d.decompress(rest, left + 1))
+            left -= len(out[-1])
+            if left < 0:
+                raise SourceError("malformed_gzip", f"The gzip stream inflates to more than {most} bytes.")
             if not d.eof:
                 raise SourceError("malformed_gzip", "The gzip stream ends early.")
             rest = d.unused_data.lstrip(b"\0")

@@ -7,11 +7,12 @@ import tarfile
 import pytest
 
 from sitequarry import api, limits, report
+from sitequarry.limits import PageBudget
 from sitequarry.operators import robots as RB
 from sitequarry.plans.expand import _Node, _Replay
 from sitequarry.rulesets import Context, Ruleset, gsc_submission
 from sitequarry.sources import http as H
-from sitequarry.sources import xmltree
+from sitequarry.sources import raw, xmltree
 from sitequarry.sources import documents as S
 from sitequarry.plans.validate import validate
 from sitequarry.storage import Workspace
@@ -204,6 +205,59 @@ def test_robots_rules(spark):
     assert decide()["http://x.com/z"] == "disallow" and decide(reachable=states.where("state = 'ok'"))["http://y.com/"] == "undetermined"
 
 
+def test_robots_groups(spark):
+    """An empty group is the agent's own; versions are cut from names; both sides are spelled alike; no rule is slow."""
+    text = "User-agent: Googlebot/2.1\nDisallow:\n\nUser-agent: *\nDisallow: /ü\nDisallow: /%7ea\nDisallow: /x*y*z$\nDisallow: /" + "a*" * 40 + "$\n"
+    rules = RB.rules(spark.createDataFrame([("http://x.com", text)], "origin string, text string"))
+    paths = {"/ü/1": "disallow", "/%c3%bc": "disallow", "/~a": "disallow", "/xyz": "disallow", "/x1y2z": "disallow", "/xyz1": "allow", "/xz": "allow", "/" + "a" * 60 + "b": "disallow", "/free": "allow"}
+    locs = spark.createDataFrame([("http://x.com" + p,) for p in paths], "loc string")
+    assert {r.loc[12:]: r.decision for r in RB.decide(locs, rules).collect()} == paths
+    assert {r.decision for r in RB.decide(locs, rules, agent="googlebot").collect()} == {"allow"}
+    assert {r.decision for r in RB.decide(locs, rules, agent="Googlebot/9").collect()} == {"allow"} and RB.decide(locs, rules, agent="other").where("decision = 'disallow'").count() == 6
+    for rule, path, want in (("/", "/a", 1), ("/a$", "/a", 1), ("/a$", "/ab", 0), ("*b", "/ab", 1), ("/a*", "/a", 1), ("/*a$", "/ba", 1), ("/a*a$", "/a", 0), ("$", "", 1), ("*", "/x", 1), ("/a*b*b$", "/ab", 0)):
+        assert RB.rule_matches(rule, path) == bool(want), (rule, path)
+
+
+def test_validate_fetches_robots(spark):
+    v = api.validate(spark, f"{E}/a.xml", transport=Site(SITE), check_robots=True)
+    assert "ROBOTS_DISALLOWED" in codes(v.findings)
+    v = api.validate(spark, ("http://n.com/s.xml", urlset("http://n.com/1")), transport=Site({}), check_robots=True)
+    assert not any(c.startswith("ROBOTS") for c in codes(v.findings))
+    with pytest.raises(ValueError):
+        api.validate(spark, ("http://n.com/s.xml", urlset("http://n.com/1")), check_robots=True)
+
+
+@pytest.mark.parametrize(("budget", "cap", "attempted"), [({"max_requests": 1}, ["max_requests"], 1), ({"max_bytes": 1}, ["max_bytes"], 1), ({"max_seconds": 1e-9}, ["max_seconds"], 0), ({}, [], 2)])
+def test_page_budget(spark, budget, cap, attempted):
+    v = api.validate(spark, f"{E}/a.xml", transport=Site(SITE), inspect=api.PageInspection(Site(SITE), budget=PageBudget(**budget)))
+    c = v.coverage.first()
+    assert (c.caps_hit, c.partial_run, c.attempted, c.skipped, c.selected) == (cap, bool(cap), attempted, 2 - attempted, 2)
+    assert c.eligible >= c.deduplicated >= c.selected and c.mode == "sample" and c.elapsed >= 0
+
+
+def test_gzip_bomb():
+    data = gzip.compress(b"\0" * 3_000_000)
+    with pytest.raises(raw.SourceError, match="more than"):
+        raw.gunzip(data, 1_000_000)
+    assert len(raw.gunzip(data, 3_000_000)) == 3_000_000
+
+
+def test_proxy_and_certificates():
+    from sitequarry.sources import http
+
+    p = http.Policy(proxy=http.Proxy("http://proxy.example", 8080, "u", "p:w"), verify_tls=False)
+    handlers = {type(h).__name__: h for h in http._handlers(p) if not isinstance(h, type)}
+    assert handlers["ProxyHandler"].proxies["https"] == "http://u:p%3Aw@proxy.example:8080" and handlers["HTTPSHandler"]._context.check_hostname is False
+    assert len(http._handlers(http.Policy())) == 1
+
+
+def test_children_in_capitals(spark):
+    """A child is fetched however its scheme is spelled, and in the first spelling that the index has."""
+    site = {"https://c.com/i.xml": index("HTTPS://c.com/a.xml", "https://c.com/a.xml#b"), "HTTPS://c.com/a.xml": urlset("https://c.com/1")}
+    out = api.audit(spark, "https://c.com/i.xml", transport=Site(site))
+    assert [r.loc for r in out.urls.collect()] == ["https://c.com/1"]
+
+
 def test_stream(spark, tmp_path):
     drop = tmp_path / "in"
     drop.mkdir()

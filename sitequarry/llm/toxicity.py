@@ -52,7 +52,9 @@ def windows(count: int, width: int = WIDTH, stride: int = STRIDE) -> np.ndarray:
 
 def _scatter(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Adds each row at its place."""
-    np.add.at(into, at, rows)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    into[at[order][first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

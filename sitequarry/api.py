@@ -92,7 +92,7 @@ def load(spark: SparkSession, sources: Source | Iterable[Source], *, transport:
             parts.append(H.fetch_documents(spark.createDataFrame(remote, "url string, scheme_inferred boolean"), transport, policy, limits))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
@@ -264,8 +264,8 @@ def tree_from_bytes(spark: SparkSession, data: bytes, source_url: str, *, transp
     return audit(spark, (source_url, data), transport=transport, **how).tree
 
 
-def probe_bytes(data: bytes, url: str = "", status: int | None = 200) -> dict:
-    """What one source is: detected_type, xml_root, is_compressed, child_count, a sample of its text, problems and what to do next."""
+def probe_bytes(data: bytes, url: str = "", status: int | None = 200, content_type: str | None = None) -> dict:
+    """What one source is: content_type, detected_type, xml_root, is_compressed, child_count, a sample of its text, problems and what to do next."""
     out = {"url": url, "final_url": url, "status_code": status, "xml_root": None, "is_compressed": data[:2] == b"\x1f\x8b", "child_count": None, "problems": None}
     p = S.parse_bytes(data)
     try:
@@ -296,12 +296,12 @@ def probe_bytes(data: bytes, url: str = "", status: int | None = 200) -> dict:
         "sitemap": "read", "sitemap_index": "read, to expand the children", "feed": "read", "robots_txt": "tree, to follow its sitemaps", "html": "tree, on the site's root", "xml_other": "look at the document",
         "not_found": "tree, on the site's root", "fetch_error": "try again later", "parse_error": "validate",
     }
-    return out | {"content_type": None, "detected_type": kind, "sample": text[:500], "suggested_next": following[kind]}
+    return out | {"content_type": content_type, "detected_type": kind, "sample": text[:500], "suggested_next": following[kind]}
 
 
 def probe(url: str, *, transport: H.Transport, policy: H.Policy = H.Policy(), limits: L.FetchLimits = L.FetchLimits()) -> dict:
     got = H.fetch(url, transport, policy, limits)
-    out = probe_bytes(got.body or b"", got.final, got.status)
+    out = probe_bytes(got.body or b"", got.final, got.status, next((v[0] for k, v in got.headers.items() if k.lower() == "content-type" and v), None))
     return out | {"url": url, "final_url": got.final, "problems": out["problems"] or (None if got.outcome in ("usable_body", "http_status") else got.outcome)}
 
 

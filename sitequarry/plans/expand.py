@@ -1,8 +1,8 @@
 """Index expansion: fetch level by level, then replay the traversal.
 
 Documents are fetched and parsed in parallel, a level at a time, each identity once. Which child counts as visited, too deep or
-over budget depends on depth-first catalog order; that is decided afterwards on the driver, from one small row a sitemap. Entries
-never leave the executors.
+over budget depends on depth-first catalog order; that is decided afterwards on the driver, from a row a sitemap, which for an
+index holds its children up to the limit. Entries never leave the executors.
 """
 
 from __future__ import annotations

@@ -36,6 +36,8 @@ SOURCES = (
     "error_class string, format string, root string, namespaces array<string>, profile_id string"
 )
 DOCUMENT = "doc_id string, requested_url string, final_url string, path string, content binary, byte_size long, status int, content_type string, fetched_at timestamp, error_class string"
+#: What a fetched document has besides: the URLs it led over, the last one included, and the seconds it took.
+FETCHED = DOCUMENT + ", redirect_chain array<string>, timing double"
 FINDING = (
     "code string, severity string, layer string, subject_type string, subject_ref string, message string, "
     "evidence struct<excerpt:string,line:int,column:int>, mode string, is_strict_only boolean, remediation_hint string"

@@ -18,7 +18,7 @@ from . import raw, xmltree, xsd
 
 _ENTRY = f"struct<loc:string,lastmod:string,changefreq:string,priority:string,images:array<{IMAGE}>,video:array<{VIDEO}>,news:array<{NEWS}>,alternates:array<{ALTERNATE}>,member:string>"
 PARSED = (
-    "doc_id string, requested_url string, final_url string, path string, status int, content_type string, fetched_at timestamp, format string, kind string, gzip boolean, byte_size long, "
+    "doc_id string, requested_url string, final_url string, path string, status int, content_type string, fetched_at timestamp, redirect_chain array<string>, timing double, format string, kind string, gzip boolean, byte_size long, "
     "root string, variant string, namespaces array<string>, bom string, declared string, error_class string, error string, "
     f"entries array<{_ENTRY}>, children array<struct<loc:string,lastmod:string>>, lines array<string>, "
     "schema_issues array<struct<namespace:string,element:string,reason:string,excerpt:string>>, unknown_namespaces array<string>, entities boolean, "
@@ -141,12 +141,12 @@ def parse_bytes(data: bytes | None, limits: ArchiveLimits = ArchiveLimits()) ->
 
 
 def parse(documents: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
-    """``PARSED`` of documents with the columns of ``schema.DOCUMENT``; the bytes go no further."""
+    """``PARSED`` of documents with the columns of ``schema.DOCUMENT`` or ``schema.FETCHED``; the bytes go no further."""
     from pyspark.sql.types import _parse_datatype_string
 
     schema: StructType = _parse_datatype_string(PARSED)  # type: ignore[assignment]
     arrow = to_arrow_schema(schema)
-    keep = ["doc_id", "requested_url", "final_url", "path", "status", "content_type", "fetched_at"]
+    keep = ["doc_id", "requested_url", "final_url", "path", "status", "content_type", "fetched_at", *(c for c in ("redirect_chain", "timing") if c in documents.columns)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,8 +194,8 @@ def sources(parsed: DataFrame) -> DataFrame:
     """``schema.SOURCES``, a row a document."""
     charset = F.regexp_extract(F.lower(F.col("content_type")), r"charset=[\"']?([^\s;\"']+)", 1)
     return parsed.select(
-        "requested_url", "final_url", "status", F.array().cast("array<string>").alias("redirect_chain"), "content_type", F.nullif(charset, F.lit("")).alias("charset"), F.col("byte_size").alias("bytes"),
-        F.lit(None).cast("double").alias("timing"), "error_class", "format", F.col("root"), F.col("namespaces"),
+        "requested_url", "final_url", "status", F.coalesce("redirect_chain", F.array().cast("array<string>")).alias("redirect_chain"), "content_type", F.nullif(charset, F.lit("")).alias("charset"), F.col("byte_size").alias("bytes"),
+        "timing", "error_class", "format", F.col("root"), F.col("namespaces"),
         F.when(F.col("kind").isin("urlset", "index"), F.concat_ws("|", F.lit("1"), "root", F.array_join(F.array_sort("namespaces"), ","))).alias("profile_id"),
     )
 

@@ -24,7 +24,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..functions import ssrf
 from ..limits import FetchLimits
 from ..operators.pages import ARTIFACT
-from ..schema import DOCUMENT
+from ..schema import FETCHED
 
 
 @dataclass
@@ -235,17 +235,18 @@ _ERRORS = {"timeout": "timeout", "transport_fail": "timeout", "incomplete": "fet
 
 
 def document_row(f: Fetched) -> dict:
-    """A fetched source as ``schema.DOCUMENT``; an answer outside 2xx has no body to parse but is no failure of transport."""
+    """A fetched source as ``schema.FETCHED``; an answer outside 2xx has no body to parse but is no failure of transport."""
     return {
         "doc_id": f.requested, "requested_url": f.requested, "final_url": f.final, "path": None, "content": f.body, "byte_size": len(f.body or b""), "status": f.status,
         "content_type": next((v[0] for k, v in f.headers.items() if k.lower() == "content-type" and v), None), "fetched_at": None,
         "error_class": _ERRORS.get(f.outcome) or ("http_error" if f.outcome == "http_status" else None),
+        "redirect_chain": [*(h["url"] for h in f.hops), f.final], "timing": f.seconds,
     }
 
 
 def fetch_documents(urls: DataFrame, transport: Transport, policy: Policy = Policy(), limits: FetchLimits = FetchLimits()) -> DataFrame:
     """``urls`` (url, optionally scheme_inferred) as documents."""
-    arrow = to_arrow_schema(_parse_datatype_string(DOCUMENT))
+    arrow = to_arrow_schema(_parse_datatype_string(FETCHED))
     inferred = F.col("scheme_inferred") if "scheme_inferred" in urls.columns else F.lit(False)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,7 @@ def fetch_documents(urls: DataFrame, transport: Transport, policy: Policy = Poli
                 yield pa.RecordBatch.from_pylist([document_row(fetch(u, transport, policy, limits, scheme_inferred=bool(s), pacer=pacer))], schema=arrow)
 
     host = F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)
-    return urls.select("url", inferred.alias("inferred")).repartition(host).mapInArrow(run, DOCUMENT)
+    return urls.select("url", inferred.alias("inferred")).repartition(host).mapInArrow(run, FETCHED)
 
 
 def fetch_pages(pages: DataFrame, transport: Transport, policy: Policy = Policy(), limits: FetchLimits = FetchLimits(), *, cap: int = 1 << 20, deadline: float = math.inf) -> DataFrame:

@@ -71,6 +71,15 @@ def test_expansion(audited):
     assert codes(audited.findings) == ["INDEX_CYCLE_DETECTED", "SITEMAP_INDEX_NESTED", "UNSUPPORTED_FEED"]
 
 
+def test_redirect_chain_and_timing(spark, audited):
+    got = {r.requested_url[len(E) :]: r for r in audited.sources.collect()}
+    assert got["/moved.xml"].redirect_chain == [f"{E}/moved.xml", f"{E}/a.xml"] and got["/a.xml"].redirect_chain == [f"{E}/a.xml"]
+    assert all(r.timing >= 0 for r in got.values())
+    mixed = api.load(spark, [f"{E}/a.xml", ("b.xml", urlset(f"{E}/1"))], transport=Site(SITE))
+    rows = {r.requested_url: r for r in S.sources(S.parse(mixed)).collect()}
+    assert rows["b.xml"].redirect_chain == [] and rows["b.xml"].timing is None and rows[f"{E}/a.xml"].timing >= 0
+
+
 def test_replay_budgets():
     def run(**k):
         nodes = {f"u{i}": _Node(f"u{i}", "urlset", None, 200, 10, False) for i in range(5)}
@@ -105,6 +114,7 @@ def test_tree_and_probe(spark):
     assert (rows[0].sitemap_url, rows[0].reason) == (f"{E}/i.xml", "robots") and sum(r.depth == 0 for r in rows) == 11 and sum(r.status == "accepted" for r in rows) == 6
     kinds = {u: api.probe(u, transport=t)["detected_type"] for u in (f"{E}/i.xml", f"{E}/a.xml", f"{E}/robots.txt", f"{E}/4", f"{E}/none", f"{E}/bad.xml")}
     assert list(kinds.values()) == ["sitemap_index", "sitemap", "robots_txt", "html", "not_found", "parse_error"]
+    assert api.probe(f"{E}/4", transport=t)["content_type"] == "text/html" and api.probe(f"{E}/none", transport=t)["content_type"] is None
     assert api.tree_from_bytes(spark, urlset(f"{E}/1"), f"{E}/s.xml").first().page_count == 1
 
 

@@ -16,6 +16,14 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(map(text, r)) for r in df.itertuples(index=False))
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """Queries are tested with the generated code that they run with."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 @pytest.fixture(scope="module")
 def duck(data):
     c = duckdb.connect()

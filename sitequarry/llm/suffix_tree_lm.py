@@ -6,8 +6,9 @@ Next-word distributions are smoothed towards the suffix's, down to the empty con
 letters (contexts of up to ``DEPTH`` letters). Each word is scored by the longest kept suffix of what precedes it.
 
 The tree grows with the corpus and is never held in one place. All contexts with the same last two words are counted, tested and
-scored in one task: words travel once, as 12 bytes each with their hashed contexts, and each text's partial sums travel back. Only
-the tree of letters, bounded by 32^5 counts, goes to the driver.
+scored in one task: words travel once, as 12 bytes each with their hashed contexts, and each text's partial sums travel back. Pairs
+too frequent for one task are counted as a table, by aggregations and joins; contexts are known by the same hashes and kept by the same
+test, so that scores don't depend on which way a pair goes. Only the tree of letters, bounded by 32^5 counts, goes to the driver.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TokenHash, Workspace, free_names, key_runs, mix64, row_id, words
+from .common import TokenHash, Workspace, broadcast_if_small, free_names, key_runs, mix64, row_id, words
 
 DEPTH, BITS, EVIDENCE, PRIOR = 4, 5, 25.0, 8.0  # of the tree of letters
 WORD_EVIDENCE, WORD_PRIOR = 8.0, 1.0
 #: Words of a block that a task sends off together, and of a part of the tree.
 BLOCK, PART = 1_000_000, 1_500_000
-#: A pair of words that occurs more often than this, and makes more than ``SHARE`` of a block somewhere, is no state: its contexts of three words are dealt over tasks.
+#: What follows a pair of words that occurs more often than this, and makes more than ``SHARE`` of a block somewhere, is counted as a table, with the same scores.
 FREQUENT, SHARE = 4_000_000, 1e-4
 _SYMBOLS = 1 << BITS
 _BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -173,7 +174,7 @@ def gathered(docs: DataFrame) -> tuple[LetterTree, int, np.ndarray]:
 
 
 def part_scores(pair: np.ndarray, third: np.ndarray, word: np.ndarray, base: np.ndarray, whole: bool, evidence: float, prior: float) -> np.ndarray:
-    """log2 probability of each occurrence, of all that follow the same pairs. ``base``: log2 of the word's spelling. If not ``whole``, the pairs are no states."""
+    """log2 probability of each occurrence, of all that follow the same pairs. ``base``: log2 of the word's spelling. If not ``whole``, the contexts of three words only."""
     order = np.lexsort((word, third, pair))
     pair, third, word, base = pair[order], third[order], word[order], base[order]
 
@@ -210,8 +211,28 @@ def part_scores(pair: np.ndarray, third: np.ndarray, word: np.ndarray, base: np.
     return out
 
 
-def scores(docs: DataFrame, *, evidence: float = WORD_EVIDENCE, prior: float = WORD_PRIOR) -> DataFrame:
-    """(h, g, symbols, log2) of every text that isn't null, by the identity of its row over doc_id and text; of repeated rows as many."""
+def pair_scores(found: DataFrame, pairs: int, ws: Workspace, evidence: float, prior: float) -> DataFrame:
+    """(block, text, log2) of ``found``'s rows: what ``part_scores`` says, by aggregations and joins. ``found``: block, pair, third, word
+    (its spelling in the bits from the 24th), n and text, of ``pairs`` different pairs."""
+    n, m, p, every = (F.col(c) for c in ("n", "m", "p", "every"))
+    root = F.pow(F.lit(2.0), -F.shiftright("word", 24) / _STEP)
+    deep = ws.table(found.groupBy("pair", "third", "word").agg(F.sum("n").alias("n")), "contexts")
+    two = deep.groupBy("pair", "word").agg(F.sum("n").alias("n")).groupBy("pair").agg(F.sum("n").alias("every"), F.sum(n * F.log(n / root)).alias("gain"))
+    two = two.select("pair", "every", ((every > 1) & (F.col("gain") - every * F.log(every) >= evidence)).alias("kept"))
+    deep = deep.join(broadcast_if_small(two, pairs, 64), "pair")
+    deep = deep.withColumn("p", (F.sum("n").over(Window.partitionBy("pair", "word")) + prior * root) / (every + prior))
+    three = Window.partitionBy("pair", "third")
+    deep = deep.withColumns({"m": F.sum("n").over(three), "gain": F.sum(n * F.log(n / p)).over(three)})
+    deep = ws.table(deep.withColumn("held", (m > 1) & (F.col("gain") - m * F.log(m) >= evidence)), "tested")
+    two = deep.groupBy("pair").agg(F.max(F.col("kept") | F.col("held")).alias("state"))  # with a context its suffix is in the tree
+    log = F.log2(F.when(F.col("held"), (n + prior * p) / (m + prior)).when(F.col("state"), p).otherwise(root))
+    logs = deep.join(broadcast_if_small(two, pairs, 64), "pair").select("pair", "third", "word", log.alias("log2"))
+    return found.drop("n").join(logs, ["pair", "third", "word"]).select("block", "text", "log2")
+
+
+def scores(docs: DataFrame, ws: Workspace, *, evidence: float = WORD_EVIDENCE, prior: float = WORD_PRIOR) -> DataFrame:
+    """(h, g, symbols, log2, apart) of every text that isn't null, by the identity of its row over doc_id and text; of repeated rows as many.
+    Where there are frequent pairs, a text has two such rows to be added up: ``apart`` is what follows frequent pairs."""
     tree, size, frequent = gathered(docs)
     parts = max(1, -(-size // PART))
     shared = docs.sparkSession.sparkContext.broadcast((tree, frequent))
@@ -219,7 +240,9 @@ def scores(docs: DataFrame, *, evidence: float = WORD_EVIDENCE, prior: float = W
     fields = ["part", "block", "pair", "third", "word", "base", "text", "h", "g"]
     schema = "part long, block long, pair binary, third binary, word binary, base binary, text binary, h binary, g binary"
 
-    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterable[pa.RecordBatch], apart: bool) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of every block its number, its texts' sizes and identities; and the words that follow frequent pairs, or those that don't: hashes of
+        the pair, of the word before and of itself, its spelling and its text."""
         tree, often = shared.value
         hasher, spelt = TokenHash(), {}
         for held, tokens in _blocks(batches):
@@ -230,36 +253,41 @@ def scores(docs: DataFrame, *, evidence: float = WORD_EVIDENCE, prior: float = W
             spelt |= dict(zip(fresh, tree.steps(fresh).tolist(), strict=True))
             base = np.concatenate([np.fromiter((spelt[w] for w in [*t, ""]), np.uint8, len(t) + 1) for t in tokens])
             pair, third, word, own = _contexts(tokens, hasher)
+            if len(often):
+                mine = np.isin(pair, often) == apart
+                pair, third, word, base, own = (x[mine] for x in (pair, third, word, base, own))
+            third, word = (mix64(third) >> np.uint64(48)).astype(np.uint16), (mix64(word) >> np.uint64(40)).astype(np.uint32)
             ids = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in "hg"]
             block = xxhash.xxh3_64_intdigest(ids[0].tobytes() + ids[1].tobytes()) >> 1
-            apart = np.isin(pair, often) if len(often) else np.zeros(len(pair), bool)
-            part = np.where(apart, mix64(pair * _MUL + third), pair) % np.uint64(parts) * np.uint64(2) + apart
+            yield block, [np.array([len(t) + 1 for t in tokens], np.uint32), *ids], pair, third, word, base, own.astype(np.uint32)
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, head, pair, third, word, base, own in coded(batches, False):
+            part = pair % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             cut = np.flatnonzero(np.diff(part[order])) + 1
-            third, word = (mix64(third) >> np.uint64(48)).astype(np.uint16), (mix64(word) >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            word = word.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
             low = (mix64(pair ^ _MUL) >> np.uint64(32)).astype(np.uint32)
-            for own_part in np.split(order, cut):
+            for own_part in np.split(order, cut) if len(order) else []:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(part[own_part[0]])]), pa.array([block]), *(pa.array([np.ascontiguousarray(x[own_part]).tobytes()], pa.binary()) for x in (low, third, word, base, own.astype(np.uint32))), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())],
+                    [pa.array([int(part[own_part[0]])]), pa.array([block]), *(pa.array([np.ascontiguousarray(x[own_part]).tobytes()], pa.binary()) for x in (low, third, word, base, own)), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())],
                     fields,
                 )
-            sizes = np.array([len(t) + 1 for t in tokens], np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([2 * parts + block % parts]), pa.array([block]), *[pa.nulls(1, pa.binary())] * 4, *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, *ids))], fields)
+            yield pa.RecordBatch.from_arrays([pa.array([parts + block % parts]), pa.array([block]), *[pa.nulls(1, pa.binary())] * 4, *(pa.array([x.tobytes()], pa.binary()) for x in head)], fields)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = ["block", "text", "log2", "h", "g"]
         for t, runs in key_runs(batches, "part"):
             for lo, hi in zip(runs[:-1], runs[1:], strict=True):
                 own = t.slice(lo, hi - lo)
-                part = own.column("part")[0].as_py()
                 blocks = own.column("block")
-                if part >= 2 * parts:
+                if own.column("part")[0].as_py() >= parts:
                     for b in own.select(["block", "text", "h", "g"]).to_batches():
                         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(b.num_rows, pa.binary()), b.column(2), b.column(3)], out)
                     continue
                 pair, third, word, base, text = (np.frombuffer(b"".join(own.column(c).to_pylist()), k) for c, k in (("pair", np.uint32), ("third", np.uint16), ("word", np.uint8), ("base", np.uint8), ("text", np.uint32)))
                 word = word.reshape(-1, 3).astype(np.uint32)
-                log = part_scores(pair, third, word[:, 0] | word[:, 1] << 8 | word[:, 2] << 16, -base.astype(float) / _STEP, part % 2 == 0, evidence, prior)
+                log = part_scores(pair, third, word[:, 0] | word[:, 1] << 8 | word[:, 2] << 16 | base.astype(np.uint32) << 24, -base.astype(float) / _STEP, True, evidence, prior)
                 at = 0
                 for i in range(len(blocks)):
                     n = len(own.column("base")[i].as_py())
@@ -267,23 +295,52 @@ def scores(docs: DataFrame, *, evidence: float = WORD_EVIDENCE, prior: float = W
                     yield pa.RecordBatch.from_arrays([blocks.slice(i, 1).combine_chunks(), pa.array([where.tobytes()], pa.binary()), pa.array([np.bincount(back, log[at : at + n]).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], out)
                     at += n
 
+    def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each different context and word of a block that follow frequent pairs, with its occurrences' texts; and the block's head."""
+        names = ["block", "pair", "third", "word", "n", "text", "h", "g"]
+        for block, head, pair, third, word, base, own in coded(batches, True):
+            word = word.astype(np.int64) | base.astype(np.int64) << 24
+            order = np.lexsort((word, third, pair))
+            pair, third, word, own = pair[order], third[order], word[order], own[order]
+            cut = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (third[1:] != third[:-1]) | (word[1:] != word[:-1])])) if len(pair) else np.empty(0, np.int64)
+            ends = np.append(cut, len(pair))
+            texts = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(own)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block, np.int64)), pa.array(pair[cut].view(np.int64)), pa.array(third[cut].astype(np.int32)), pa.array(word[cut]), pa.array(np.diff(ends)), texts, *[pa.nulls(len(cut), pa.binary())] * 2], names)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * 2, *(pa.array([x.tobytes()], pa.binary()) for x in head)], names)
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """log2 of a row as often as it has texts."""
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            times = np.array([len(t) // 4 for t in texts], np.int64)
+            ends = np.append(0, 8 * np.cumsum(times)).astype(np.int32)
+            log = pa.Array.from_buffers(pa.binary(), len(times), [None, pa.py_buffer(ends), pa.py_buffer(np.repeat(b.column("log2").to_numpy(), times))])
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(texts, pa.binary()), log, *[pa.nulls(len(times), pa.binary())] * 2], ["block", "text", "log2", "h", "g"])
+
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, runs in key_runs(batches, "block"):
             for lo, hi in zip(runs[:-1], runs[1:], strict=True):
-                own = t.slice(lo, hi - lo).to_pylist()
-                heads = [r for r in own if r["h"] is not None]
+                own = t.slice(lo, hi - lo)
+                heads, rest = own.filter(own.column("h").is_valid()).to_pylist(), own.filter(own.column("h").is_null())
                 sizes = np.frombuffer(heads[0]["text"], np.uint32)
-                log = np.zeros(len(sizes))
-                for r in own:
-                    if r["h"] is None:
-                        log[np.frombuffer(r["text"], np.uint32)] += np.frombuffer(r["log2"], np.float64)
+                text, each = (np.frombuffer(b"".join(rest.column(c).to_pylist()), k) for c, k in (("text", np.uint32), ("log2", np.float64)))
+                log = np.bincount(text, each, len(sizes))
                 ids = [pa.array(np.frombuffer(heads[0][c], np.int64)) for c in "hg"]
                 for _ in heads:  # equal blocks have equal sums, each counted len(heads) times
                     yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes.astype(np.int64)), pa.array(log / len(heads))], ["h", "g", "symbols", "log2"])
 
+    def added(back: DataFrame) -> DataFrame:
+        return back.repartition("block").sortWithinPartitions("block").mapInArrow(add, "h long, g long, symbols long, log2 double")
+
+    sums = "block long, text binary, log2 binary, h binary, g binary"
     sent = rows.mapInArrow(send, schema).repartition("part").sortWithinPartitions("part")
-    back = sent.mapInArrow(judge, "block long, text binary, log2 binary, h binary, g binary").repartition("block").sortWithinPartitions("block")
-    return back.mapInArrow(add, "h long, g long, symbols long, log2 double")
+    out = added(sent.mapInArrow(judge, sums)).withColumn("apart", F.lit(False))
+    if not len(frequent):
+        return out
+    found = ws.table(rows.mapInArrow(contexts, "block long, pair long, third int, word long, n long, text binary, h binary, g binary"), "found")
+    heads = found.where("h is not null").select("block", "text", F.lit(None).cast("binary").alias("log2"), "h", "g")
+    apart = pair_scores(found.where("h is null").drop("h", "g"), len(frequent), ws, evidence, prior).mapInArrow(spread, sums)
+    return out.unionByName(added(apart.unionByName(heads)).withColumn("apart", F.lit(True)))
 
 
 def score(docs: DataFrame, *, evidence: float = WORD_EVIDENCE, prior: float = WORD_PRIOR, columns: list[str] | None = None) -> DataFrame:
@@ -297,8 +354,11 @@ def score(docs: DataFrame, *, evidence: float = WORD_EVIDENCE, prior: float = WO
     names = ["lm_symbols", "lm_log2", "lm_bits"]
     h, g = free_names(docs, "h", "g")
     own = docs.select(*[c for c in columns or docs.columns if c not in names], *(c.alias(k) for c, k in zip(row_id(docs, ["doc_id", "text"]), (h, g), strict=True)))
-    found = Workspace(docs.sparkSession, "suffix-tree").table(scores(docs, evidence=evidence, prior=prior), "scores")
-    found = found.groupBy("h", "g").agg(F.max("symbols").alias(names[0]), F.max("log2").alias(names[1]))
+    ws = Workspace(docs.sparkSession, "suffix-tree")
+    found = ws.table(scores(docs, ws, evidence=evidence, prior=prior), "scores")
+    ws.drop("found", "contexts", "tested")
+    apart = F.coalesce(F.max(F.when(F.col("apart"), F.col("log2"))), F.lit(0.0))
+    found = found.groupBy("h", "g").agg(F.max("symbols").alias(names[0]), (F.max(F.when(~F.col("apart"), F.col("log2"))) + apart).alias(names[1]))
     found = found.withColumnsRenamed({"h": h, "g": g})
     return own.join(found, [h, g], "left").drop(h, g).withColumn(names[2], -F.col(names[1]) / F.col(names[0]))
 

@@ -119,6 +119,22 @@ def test_frequent_pairs(spark, monkeypatch):
     assert max(low) == 60 and min(-b / n for n, b in own) < 3
 
 
+@pytest.mark.parametrize("limits", [{"FREQUENT": 5}, {"FREQUENT": 0, "BLOCK": 3000}])
+def test_scores_do_not_depend_on_what_is_frequent(spark, data, monkeypatch, limits):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()]
+    rows += [rows[0], (10**6, ""), (10**6 + 1, rows[1][1])]
+    docs = spark.createDataFrame([*rows, (10**6 + 2, None)], "doc_id long, text string")
+    before = sorted(map(tuple, P.score(docs, columns=["doc_id"]).collect()))
+    for k, v in limits.items():
+        monkeypatch.setattr(P, k, v)
+    assert len(P.gathered(docs)[2]) > 20
+    after = sorted(map(tuple, P.score(docs, columns=["doc_id"]).collect()))
+    assert after.pop() == before.pop() == (10**6 + 2, None, None, None)
+    want = dict(zip((i for i, _ in rows), brute([t for _, t in rows])))
+    for (i, n, old, _), (j, m, new, _) in zip(before, after, strict=True):
+        assert (i, n) == (j, m) and m == want[i][0] and abs(old - new) < 1e-6 * n and abs(new - want[i][1]) < 2e-3 * n
+
+
 def test_documents_that_occur_twice_score_apart(spark, data):
     """And more text makes a larger tree: nothing is folded or capped."""
     docs = spark.read.parquet(f"{data}/documents.parquet").where("n_chars between 600 and 4000").dropDuplicates(["text"]).limit(80)

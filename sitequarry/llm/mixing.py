@@ -2,17 +2,21 @@
 
 Document rates w minimise the token-weighted relative entropy sum(tokens * (w log w - w + 1)) subject to one token constraint
 per value of each balanced column. The dual is convex and smooth; its solution tilts exponentially,
-w = exp(lambda[source] + ...). For one column the solution is closed-form, without targets a table that never leaves the
-executors. For several, Newton's gradient and Hessian are distributed sums over the cells (combinations of values that occur, with
+w = exp(lambda[source] + ...). For one column the Hessian is diagonal and Newton's method runs value by value, without targets in a
+table that never leaves the executors. For several, its gradient and Hessian are distributed sums over the cells (combinations of values that occur, with
 their tokens), which one scan of the documents makes; beyond ``MOST`` constraints steps come from conjugate gradients, whose
 Hessian-vector products are such sums too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .common import Workspace, broadcast_if_small, free_names
 
@@ -24,6 +28,22 @@ def token_count(column: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit("[^ \\t\\r\\n]+")), F.lit(0)).cast("long")
 
 
+def newton(tokens: np.ndarray, goal: np.ndarray, tolerance: float = TOLERANCE, rounds: int = 1000) -> np.ndarray:
+    """Multipliers of one column's values: Newton's method on the dual sum(tokens * exp(lambda) - goal * lambda), whose Hessian is diagonal.
+
+    A step is at most 2 up. One too far ends above the solution, from where Newton's steps fall to it, so that none has to be
+    halved. After the gradient is within ``tolerance`` of the goal one more step is made. ``tokens`` and ``goal`` must be positive.
+    """
+    lam = np.zeros(len(tokens))
+    for _ in range(rounds):
+        hess = tokens * np.exp(lam)
+        grad = hess - goal
+        lam = lam + np.minimum(2.0, -grad / hess)
+        if (np.abs(grad) <= tolerance * goal).all():
+            return lam
+    raise ValueError("Newton's method did not converge")
+
+
 def solve(cells: DataFrame, columns: list[str], targets: dict[str, dict[str | None, float]], tolerance: float = TOLERANCE, rounds: int = 100) -> dict[str, dict[str | None, float]]:
     """Multipliers by column and value. ``cells``: the columns and ``tokens``. Values without a target, or without tokens, get 0.
 
@@ -74,7 +94,7 @@ def solve(cells: DataFrame, columns: list[str], targets: dict[str, dict[str | No
             hess[np.ix_(own, own)] += r.x
         return total - float(lam @ goal), grad - goal, hess
 
-    def newton(lam: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
+    def direction(lam: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
         step = np.zeros_like(lam)
         if dense:
             step[live] = np.linalg.lstsq(hess[np.ix_(live, live)], -grad[live], rcond=1e-12)[0]
@@ -99,7 +119,8 @@ def solve(cells: DataFrame, columns: list[str], targets: dict[str, dict[str | No
         _, now = by_constraint(valued()[0], F.col("tokens").cast("double"))
         if ((now > 0) & (goal <= 0)).any():
             raise ValueError("targets must be positive; leave a source out beforehand instead")
-        lam = np.where(now > 0, np.log(np.where(now > 0, goal, 1) / np.where(now > 0, now, 1)), 0.0)
+        lam = np.zeros(len(index))
+        lam[now > 0] = newton(now[now > 0], goal[now > 0], tolerance)
         return {columns[0]: {v: float(lam[i]) for (_, v), i in at.items()}}
 
     lam = np.zeros(len(index))
@@ -112,7 +133,7 @@ def solve(cells: DataFrame, columns: list[str], targets: dict[str, dict[str | No
     for _ in range(rounds):
         if not live.any() or np.max(np.abs(grad[live]) / goal[live]) <= tolerance:
             break
-        step = newton(lam, grad, hess)
+        step = direction(lam, grad, hess)
         size = min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
         while True:
             new = sums(lam + size * step)
@@ -131,8 +152,14 @@ def tempered(cells: DataFrame, column: str, alpha: float, value: str, multiplier
     """(value, the column's values that have tokens, and multiplier): tokens in proportion to tokens^alpha, of the same total as now."""
     live = cells.where("tokens > 0").select(F.col(column).alias(value), F.col("tokens").cast("double").alias("t"))
     total = live.agg(F.sum("t").alias("t"), F.sum(F.pow("t", F.lit(alpha))).alias("p")).first()
-    scale = total.t / total.p if total.p else 0.0
-    return live.select(value, F.log(F.pow("t", F.lit(alpha)) * F.lit(scale) / F.col("t")).alias(multiplier))
+    goals = live.withColumn("goal", F.pow("t", F.lit(alpha)) * F.lit(total.t / total.p if total.p else 0.0))
+
+    def balance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lam = newton(b.column("t").to_numpy(), b.column("goal").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lam)], [value, multiplier])
+
+    return goals.mapInArrow(balance, StructType([goals.schema[0], *StructType().add(multiplier, DoubleType())]))
 
 
 def mix(docs: DataFrame, *, targets: dict[str, dict[str | None, float]] | None = None, alpha: float = ALPHA) -> DataFrame:

@@ -39,6 +39,23 @@ def test_against_closed_form(nasty, none):
     assert out.columns == nasty.columns and out.count() == sum(c for *_, c in copies(rows))
 
 
+def test_newton_on_the_dual_of_one_column(spark, data, monkeypatch):
+    """The query's multipliers, and those for targets of one column, are what Newton's method finds."""
+    tokens_of, goal = 10.0 ** np.arange(-20, 21), 10.0 ** np.roll(np.arange(-20, 21), 7)
+    lam = M.newton(tokens_of, goal)
+    assert np.abs(tokens_of * np.exp(lam) / goal - 1).max() < 1e-12 and np.abs(lam - np.log(goal / tokens_of)).max() < 1e-12
+    rows = [(i, "word " * (1 + i % 7), f"s{i % 5}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(tuple(r[c] for c in ("doc_id", "source", "rate", "copies")) for r in M.mix(docs).collect()) == sorted(copies(rows))
+    with pytest.raises(ValueError):
+        M.newton(tokens_of, goal, rounds=5)
+    cells = spark.createDataFrame([("a", 10), ("b", 1000), (None, 7), ("empty", 0)], "source string, tokens long")
+    monkeypatch.setattr(M, "newton", lambda t, g, *_: np.full(len(t), 7.0))
+    assert M.solve(cells, ["source"], {"source": {"a": 3.0, "b": 5.0}}) == {"source": {"a": 7.0, "b": 7.0}}
+    got = {r.v: r.m for r in M.tempered(cells, "source", 0.7, "v", "m").collect()}
+    assert got == {"a": 7.0, "b": 7.0, None: 7.0}
+
+
 def test_two_columns_against_proportional_fitting(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = docs.collect()
